@@ -18,15 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import SPACE, let, stored
+from chronoweave.llm.common import WORD, let, stored, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 
 
-def repeated_words(words: Column, width: int = WINDOW) -> Column:
-    """Number of words in windows of `width` words that occur twice or more among `words`.
+def repeated_words(spoken: Column, width: int = WINDOW) -> Column:
+    """Number of words in windows of `width` words that occur twice or more among the words `spoken`.
 
     Windows are compared by a 64-bit hash of their words' 64-bit hashes. Only arrays with a repeated window are sorted.
     """
@@ -45,53 +44,54 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
         return let(pairs, lambda ordered: let(repeated(ordered), length))
 
-    def count(hashed: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(hashed) - (width - 1))
-        windows = F.transform(starts, lambda i: F.xxhash64(F.slice(hashed, i, width)))
-        return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered(w)))
+    def doubled(hashed: Column, done: int) -> Column:
+        """Hashes of windows of `width` words from those of `done` words, a power of two below."""
+        if done == width:
+            whole = F.slice(hashed, 1, F.size(spoken) - (width - 1))
+            return let(whole, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered(w)))
+        step = min(done, width - done)
+        return let(F.transform(hashed, lambda h, i: F.xxhash64(h, F.get(hashed, i + step))), lambda longer: doubled(longer, done + step))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(let(hashes, count))
+    hashes = F.transform(spoken, lambda w: F.xxhash64(w))
+    return F.when(F.size(spoken) <= width, F.lit(0).cast("long")).otherwise(let(hashes, lambda h: doubled(h, 1)))
 
 
 def statistics(text: Column) -> Column:
     """A struct of counts and ratios of one text; null counts as empty."""
     whole = F.coalesce(text, F.lit(""))
-    without = lambda chars: F.length(whole) - F.length(F.translate(whole, chars, ""))
+    without = lambda chars: F.length(whole) - F.length(F.regexp_replace(whole, f"[{chars}]+", ""))
 
     def lines(split: Column) -> Column:
         return F.size(split) - F.size(F.array_distinct(split))
 
-    spoken = F.filter(F.split(whole, "\n", -1), lambda x: F.length(F.trim(F.translate(x, SPACES, ""))) > 0)
-    parts = F.filter(F.split(whole, SPACE, -1), lambda w: w != "")
+    spoken = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(WORD))
     of_words = let(
-        parts,
+        words(whole),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             repeated_words(w).alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         ),
     )
-    upper = "".join(map(chr, range(65, 91)))
     counts = F.struct(
         of_words.alias("w"),
-        (F.length(F.translate(whole, SPACES, ""))).cast("long").alias("word_chars"),
         without(SYMBOLS).cast("long").alias("n_symbols"),
         let(spoken, lambda s: F.struct(lines(s).cast("long").alias("dup"), F.size(s).cast("long").alias("n"))).alias("l"),
-        without(upper).cast("long").alias("n_upper"),
+        without("A-Z").cast("long").alias("n_upper"),
         without("!?").cast("long").alias("n_shout"),
     )
 
     def named(c: Column) -> Column:
         n = F.greatest(c["w"]["n_words"], F.lit(1)).cast("double")
-        chars = F.greatest(c["word_chars"], F.lit(1)).cast("double")
+        chars = F.greatest(c["w"]["word_chars"], F.lit(1)).cast("double")
         return F.struct(
             c["w"]["n_words"].alias("n_words"),
-            c["word_chars"].alias("word_chars"),
+            c["w"]["word_chars"].alias("word_chars"),
             c["n_symbols"].alias("n_symbols"),
             c["l"]["dup"].alias("n_dup_lines"),
             c["w"]["n_repeat_words"].alias("n_repeat_words"),
-            (c["word_chars"] / n).alias("word_length"),
+            (c["w"]["word_chars"] / n).alias("word_length"),
             (c["n_symbols"] / n).alias("symbols_a_word"),
             (c["l"]["dup"] / F.greatest(c["l"]["n"], F.lit(1))).alias("repeated_lines"),
             (c["w"]["n_repeat_words"] / n).alias("repeated_words"),
