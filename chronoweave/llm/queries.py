@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import quality_rules
+from chronoweave.llm import bpe, quality_rules, sharding, simhash
 from chronoweave.llm.common import read
 
 
@@ -22,5 +22,41 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return placed.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_text(tokenizer))
+    return encoded.select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns({c: simhash.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def vocabulary_text(path: str | None = None) -> str:
+    """The content of a tokenizer file; by default that of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints}
 ORACLE_SQL: dict[str, str] = {}
