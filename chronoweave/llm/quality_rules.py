@@ -190,7 +190,8 @@ def learn(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     picked = picked.orderBy(F.xxhash64(F.lit(17), "_k"), "_k").limit(sample_rows)
     joined = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k")
     stats = joined.select("_k", (F.col("_y") == 0).cast("int").alias("bad"), statistics(F.col("_t")).alias("s"))
-    rows = stored(stats.where(~base_failed(F.col("s"))).select("bad", (F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(3)) == 0).alias("prune"), *[F.col(f"s.{f}").cast("double").alias(f) for f in FEATURES]).coalesce(4), "quality-rules")
+    rows = stored(stats.repartition(8, "_k"), "quality-statistics").where(~base_failed(F.col("s")))
+    rows = rows.select("bad", (F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(3)) == 0).alias("prune"), *[F.col(f"s.{f}").cast("double").alias(f) for f in FEATURES])
     quantiles = rows.select(*[F.percentile_approx(f, [i / thresholds for i in range(1, thresholds)], 10_000).alias(f) for f in FEATURES]).first()
     spread = rows.where("bad = 1").select(*[F.percentile_approx(f, [0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98], 10_000).alias(f) for f in FEATURES]).first()
     edges = {f: sorted({float(v) for v in [*(quantiles[f] or []), *(spread[f] or [])]}) for f in FEATURES}

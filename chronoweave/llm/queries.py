@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, quality_rules, sharding, simhash
+from chronoweave.llm import bpe, quality_rules, sharding, simhash, simhash_dedup
 from chronoweave.llm.common import read
 
 
@@ -50,6 +50,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: simhash.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.groups(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, radius=3)
+    return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
+
+
 def vocabulary_text(path: str | None = None) -> str:
     """The content of a tokenizer file; by default that of the public byte-level vocabulary."""
     import public_tokenizers
@@ -58,5 +63,5 @@ def vocabulary_text(path: str | None = None) -> str:
         return file.read()
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints, "op10_simhash_dedup": op10_simhash_dedup}
 ORACLE_SQL: dict[str, str] = {}
