@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, quality_rules, sharding, simhash, simhash_dedup
+from chronoweave.llm import bpe, quality_rules, sharding, simhash, simhash_dedup, substring_dedup
 from chronoweave.llm.common import read
 
 
@@ -50,6 +50,36 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: simhash.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH spoken AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos, len(w) AS n FROM spoken
+), runs AS (
+  SELECT doc_id, i AS pos, md5(array_to_string(w[i + 1:i + 13], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM spoken WHERE len(w) >= 13)
+), later AS (
+  SELECT r.doc_id, r.pos FROM runs r JOIN (SELECT h, min(doc_id) AS source FROM runs GROUP BY h) s USING (h) WHERE s.source < r.doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(13) t(k)
+), kept AS (
+  SELECT p.doc_id, p.pos, p.word, g.pos IS NOT NULL AS removed FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos
+), texts AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT removed), '') AS kept
+  FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(t.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id
+"""
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.groups(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, radius=3)
     return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
@@ -63,5 +93,5 @@ def vocabulary_text(path: str | None = None) -> str:
         return file.read()
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints, "op10_simhash_dedup": op10_simhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_simhash_dedup": op10_simhash_dedup}
+ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
