@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, quality_rules, sharding, simhash, simhash_dedup, substring_dedup
-from chronoweave.llm.common import read
+from chronoweave.llm import bpe, mixing, quality_rules, sharding, simhash, simhash_dedup, substring_dedup
+from chronoweave.llm.common import read, words
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repetition=2.0)
+    n_tokens = F.size(words(F.col("text"))).cast("long")
+    return mixed.select("doc_id", "source", n_tokens.alias("n_tokens"), "epoch", "block", F.col("draw.block").alias("block_draw"), F.col("draw.row").alias("row_draw"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     return placed.select(
@@ -93,5 +99,5 @@ def vocabulary_text(path: str | None = None) -> str:
         return file.read()
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_simhash_dedup": op10_simhash_dedup}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_simhash_dedup": op10_simhash_dedup}
 ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
