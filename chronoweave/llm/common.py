@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, also where body is a lambda over elements."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, mixing, quality_rules, sharding, simhash, simhash_dedup, substring_dedup
+from chronoweave.llm import bpe, html_extract, mixing, quality_rules, sharding, simhash, simhash_dedup, substring_dedup
 from chronoweave.llm.common import read, words
 
 
@@ -51,6 +51,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     )
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumns({c: simhash.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
@@ -99,5 +104,5 @@ def vocabulary_text(path: str | None = None) -> str:
         return file.read()
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_simhash_dedup": op10_simhash_dedup}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op7_html_extract": op7_html_extract, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_simhash_dedup": op10_simhash_dedup}
 ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL}

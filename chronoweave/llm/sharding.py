@@ -17,12 +17,13 @@ are allowed; other columns are carried along.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import stored
+from chronoweave.llm.common import let, stored
 
 FIRST_BITS, BITS = 12, 6
 WIDTH = 128
@@ -43,17 +44,6 @@ def _bits(depth: int) -> int:
     return min(BITS if depth else FIRST_BITS, (64 if depth < 64 else WIDTH) - depth)
 
 
-class Cells:
-    """Key cells as paths of digits, with their bytes and rows, in key order once closed."""
-
-    def __init__(self) -> None:
-        self.split: set[tuple[int, ...]] = {()}
-        self.counts: dict[tuple[int, ...], tuple[int, int]] = {}
-
-    def leaves(self) -> list[tuple[int, ...]]:
-        return sorted(self.counts)
-
-
 def _depth(path: tuple[int, ...]) -> int:
     depth = 0
     for _ in path:
@@ -61,20 +51,36 @@ def _depth(path: tuple[int, ...]) -> int:
     return depth
 
 
-def _path(h: Column, g: Column, split: set[tuple[int, ...]]) -> Column:
-    """The path of a row's cell as a string of digits joined by '.', following the cells that were split."""
+def _name(path: tuple[int, ...]) -> str:
+    return ".".join(map(str, path))
+
 
-    by_parent: dict[int, list[str]] = {}
+def _through(path: tuple[int, ...], h: int) -> tuple[int, ...]:
+    """The path of the one text hash h, down to where the identity's bits begin."""
+    depth, h = _depth(path), h % (1 << 64)
+    while depth < 64:
+        path += (h >> (64 - depth - _bits(depth)) & ((1 << _bits(depth)) - 1),)
+        depth += _bits(depth)
+    return path
+
+
+def _path(h: Column, g: Column, split: set[tuple[int, ...]]) -> Column:
+    """The path of a row's cell as digits joined by '.', following the cells that were split."""
+    by_level: dict[int, list[str]] = {}
     for path in split:
-        by_parent.setdefault(len(path), []).append(".".join(map(str, path)))
+        by_level.setdefault(len(path), []).append(_name(path))
     path, depth = _digit(h, g, 0).cast("string"), _bits(0)
-    for level in sorted(x for x in by_parent if x):
-        longer = F.concat_ws(".", path, _digit(h, g, depth).cast("string"))
-        path = F.when(path.isin(by_parent[level]), longer).otherwise(path)
+    for level in range(1, max(by_level, default=0) + 1):
+        digit, parents = _digit(h, g, depth).cast("string"), by_level.get(level, [])
+        path = let(path, partial(_longer, digit=digit, parents=parents)) if parents else path
         depth += _bits(depth)
     return path
 
 
+def _longer(path: Column, digit: Column, parents: list[str]) -> Column:
+    return F.when(path.isin(parents), F.concat_ws(".", path, digit)).otherwise(path)
+
+
 def shard(documents: DataFrame, shards: int = 8, *, text: str = "text", identity: str = "doc_id", tolerance: float = 0.005, cell_bytes: int = 64 << 20, least_cells: int = 256) -> DataFrame:
     """documents with size, shard and slot.
 
@@ -83,43 +89,47 @@ def shard(documents: DataFrame, shards: int = 8, *, text: str = "text", identity
     """
     h, g = F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.lit(2), F.col(identity))
     narrow = stored(documents.select(h.alias("h"), g.alias("g"), size_of(F.col(text)).alias("size")), "shard-keys")
-    cells = Cells()
-    total, slack = 0, 0.0
-    while True:
-        new = [p for p in cells.split if not any(len(q) == len(p) + 1 and q[:-1] == p for q in cells.counts)]
-        deep = {p for p in new}
-        at = F.split(F.col("path"), r"\.")
-        counted = narrow.select(_path(F.col("h"), F.col("g"), cells.split).alias("path"), "size")
-        if deep != {()}:
-            parents = [".".join(map(str, p)) for p in deep]
-            counted = counted.where(F.array_join(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(1))), ".").isin(parents) & (F.size(at) > 1))
-        for p in deep:
-            cells.counts.pop(p, None)
-        for path, size, rows in counted.groupBy("path").agg(F.sum("size"), F.count("*")).collect():
-            cells.counts[tuple(map(int, path.split(".")))] = (size, rows)
+    total, slack, wide = 0, 0.0, 0.0
+    split: set[tuple[int, ...]] = set()
+    counts: dict[tuple[int, ...], tuple[int, int]] = {}
+    todo: set[tuple[int, ...]] = {()}
+    while todo:
+        counted = narrow.select(_path(F.col("h"), F.col("g"), split).alias("path"), "h", "size")
+        if todo != {()}:
+            parent = F.regexp_replace("path", r"\.?\d+$", "")
+            counted = counted.where(parent.isin([_name(p) for p in todo]))
+        for p in todo:
+            counts.pop(p, None)
+        found = {}
+        for path, size, rows, low, high in counted.groupBy("path").agg(F.sum("size"), F.count("*"), F.min("h"), F.max("h")).collect():
+            found[tuple(map(int, path.split(".")))] = (low, high)
+            counts[tuple(map(int, path.split(".")))] = (size, rows)
         if not total:
-            total = sum(size for size, _ in cells.counts.values())
-            slack = tolerance * total / shards
-        wide = min(cell_bytes, total / least_cells)
-        below, split = 0, set()
+            total = sum(size for size, _ in counts.values())
+            slack, wide = tolerance * total / shards, min(cell_bytes, total / least_cells)
         targets = [total * k / shards for k in range(1, shards)]
-        for path in cells.leaves():
-            size, rows = cells.counts[path]
-            if rows > 1 and _depth(path) < WIDTH:
-                across = any(below + slack < t < below + size - slack for t in targets)
-                if across or size > wide:
-                    split.add(path)
+        below, todo = 0, set()
+        for path in sorted(counts):
+            size, rows = counts[path]
+            across = any(below + slack < t < below + size - slack for t in targets)
             below += size
-        if not split:
-            break
-        cells.split |= split
-    leaves = cells.leaves()
+            if rows < 2 or _depth(path) >= WIDTH or not (across or size > wide):
+                continue
+            low, high = found.get(path, (0, 1))
+            if low == high and _depth(path) < 64:
+                whole = _through(path, low)
+                split.update(whole[:n] for n in range(len(path), len(whole)))
+                counts[whole] = counts.pop(path)
+                path = whole
+            todo.add(path)
+        split |= todo
+    leaves = sorted(counts)
     starts, first, below, rows_below = [], [], 0, 0
     for path in leaves:
         starts.append(below)
         first.append(rows_below)
-        below += cells.counts[path][0]
-        rows_below += cells.counts[path][1]
+        below += counts[path][0]
+        rows_below += counts[path][1]
     ends = [*starts[1:], total] if leaves else []
     cuts = []  # each shard's first cell
     for k in range(1, shards):
@@ -130,10 +140,10 @@ def shard(documents: DataFrame, shards: int = 8, *, text: str = "text", identity
     rows = []
     for i, path in enumerate(leaves):
         s = bisect_right(opening, i) - 1
-        rows.append((".".join(map(str, path)), s, first[i] - first[opening[s]]))
+        rows.append((_name(path), s, first[i] - first[opening[s]]))
     table = documents.sparkSession.createDataFrame(rows, "_path string, shard int, _first long")
     moved = documents.withColumn("size", size_of(F.col(text))).withColumns({"_h": h, "_g": g})
-    moved = moved.withColumn("_path", _path(F.col("_h"), F.col("_g"), cells.split)).join(F.broadcast(table), "_path")
+    moved = moved.withColumn("_path", _path(F.col("_h"), F.col("_g"), split)).join(F.broadcast(table), "_path")
     order = W.partitionBy("_path").orderBy(F.shiftrightunsigned("_h", 1), "_h", F.shiftrightunsigned("_g", 1), "_g")
     placed = moved.withColumn("slot", F.col("_first") + F.row_number().over(order) - 1)
     return placed.drop("_path", "_first", "_h", "_g")
