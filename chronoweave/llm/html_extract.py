@@ -263,7 +263,7 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
                 out.append(f"<div>{prose(40)}</div>")
             else:
                 out.append(f"<section><h2>{say(1, 4)}</h2><p>{prose(40)}</p></section>")
-            if rng.random() < 0.06:
+            if rng.random() < 0.15:
                 out.append(boilerplate(rng.choice(["ad", "notice", "share", "related", "aside", "form", "newsletter"])))
         return "".join(out)
 
@@ -295,7 +295,7 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
     pages = []
     for _ in range(n):
         tag, more = rng.choice([("article", "")] * 4 + [("main", ""), ("article", ' class="post"'), ("div", ' class="content"'), ("div", ' id="content"'), ("div", ' class="article-body"'), ("div", ' class="post entry"'), ("section", ' class="story"'), ("div", ' role="main"'), ("div", ' class="main text"')])
-        body = f'<{tag}{more} data-content-label="1">{article()}{boilerplate("comments") if rng.random() < 0.08 else ""}</{tag}>'
+        body = f'<{tag}{more} data-content-label="1">{article()}{boilerplate("comments") if rng.random() < 0.15 else ""}</{tag}>'
         if rng.random() < 0.15:
             body = f'<main data-content-label="1">{body}</main>'
         before = [boilerplate(k) for k in ("header", "nav", "notice", "ad") if rng.random() < 0.45]
@@ -308,7 +308,7 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
     return pages
 
 
-def train(pages: list[str], *, passes: int = 12, rate: float = 0.4, decay: float = 1e-3, seed: int = 3) -> Model:
+def train(pages: list[str], *, passes: int = 12, rate: float = 0.4, decay: float = 1e-4, seed: int = 3) -> Model:
     """Gradient ascent on the likelihood of the labelled trees; a node without a label has its parent's."""
     data = []
     for page in pages:
@@ -348,7 +348,7 @@ def train(pages: list[str], *, passes: int = 12, rate: float = 0.4, decay: float
     return model
 
 
-def extract(pages: DataFrame, *, column: str = "html", out: str = "text", model: Model | None = None, training_pages: int = 600) -> DataFrame:
+def extract(pages: DataFrame, *, column: str = "html", out: str = "text", model: Model | None = None, training_pages: int = 1500) -> DataFrame:
     """pages with `out`, the main text. The model is a few hundred weights, whatever the pages."""
     trained = model or train(labelled_pages(training_pages))
     shared = pages.sparkSession.sparkContext.broadcast((trained.weight, trained.pair))
