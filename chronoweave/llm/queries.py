@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, html_extract, mixing, quality_rules, sharding, simhash, simhash_dedup, substring_dedup, toxicity
+from chronoweave.llm import bpe, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash, simhash_dedup, substring_dedup, toxicity
 from chronoweave.llm.common import read, words
 
 
@@ -33,6 +33,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held = read(spark, sf_dir, "documents").select("doc_id", "text"), _remainder(4) == 2
+    model = quality_classifier.train(documents, read(spark, sf_dir, "labels"), allowed=~held)
+    scored = quality_classifier.score(documents, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repetition=2.0)
     n_tokens = F.size(words(F.col("text"))).cast("long")
@@ -115,5 +122,5 @@ def vocabulary_text(path: str | None = None) -> str:
         return file.read()
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op7_html_extract": op7_html_extract, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_simhash_dedup": op10_simhash_dedup}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_toxicity": op2_toxicity, "op3_quality_classifier": op3_quality_classifier, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op6_bpe": op6_bpe, "op7_html_extract": op7_html_extract, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_simhash_dedup": op10_simhash_dedup}
 ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
