@@ -20,13 +20,18 @@ LANES = 32
 PAIR = (1 << 32) | 1
 
 
-def vote(df: DataFrame, keys: list[str], terms: Column, *, out: str = "fingerprint", ties: bool = False) -> DataFrame:
+def vote(df: DataFrame, keys: list[str], terms: Column, *, out: str = "fingerprint", ties: bool = False, hashes: int = 1) -> DataFrame:
     """One row for each value of `keys`: the fingerprint, as a long, of its `terms`, an array of struct(h, w).
 
     A bit is set if the weight of the terms that have it is more than half (with `ties`: at least half) of all weight; without
-    terms the fingerprint is 0. The weights of one text must sum to less than 2^31.
+    terms the fingerprint is 0. The weights of one text must sum to less than 2^31. With more `hashes` each text gets as many
+    rows, numbered by the column _i; all but the first vote with a hash of h and that number.
     """
     each = df.select(*keys, F.explode_outer(terms).alias("_x")).select(*keys, F.col("_x.h").alias("_h"), F.col("_x.w").cast("long").alias("_w"))
+    if hashes > 1:
+        each = each.select("*", F.explode(F.array(*map(F.lit, range(hashes)))).alias("_i"))
+        each = each.withColumn("_h", F.when(F.col("_i") == 0, F.col("_h")).otherwise(F.xxhash64("_i", "_h")))
+        keys = [*keys, "_i"]
     lanes = [F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(PAIR)) * F.col("_w")).alias(f"_s{k}") for k in range(LANES)]
     summed = each.groupBy(*keys).agg(F.sum("_w").alias("_votes"), *lanes)
     bit = lambda ones, k: F.when(2 * ones >= F.col("_votes") if ties else 2 * ones > F.col("_votes"), F.lit(_signed(1 << k))).otherwise(F.lit(0).cast("long"))

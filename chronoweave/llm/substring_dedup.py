@@ -5,7 +5,7 @@ documents is repeated. Repeated edges are found in two steps. First, each run is
 one of about four places is counted; anchors seen in one document only cannot lie in a repeated run. The repeated anchors go
 into a bitmap of fixed size (two bits each), which may let through too much and never too little. Then the runs whose anchor is in the
 bitmap are counted exactly. A join brings each repeated edge back to its places: places next to each other whose edges neither branch
-in nor out compact to one path, and the path's source coordinates (the smallest document that has it, against the place's own)
+in nor out (by a 32-bit sketch of their neighbouring words) compact to one path, and the path's source coordinates (the smallest document that has it, against the place's own)
 decide whether its words go. Nothing is gathered by edge: hot edges meet in hash aggregations and a join that can be split; what is
 gathered by document is bounded by that document.
 
@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import stored
+from chronoweave.llm.common import release, stored
 from chronoweave.llm.rolling import Powers, runs, slices, sliding_min, word_hashes
 
 WINDOW, ANCHOR = 13, 6
@@ -103,10 +103,11 @@ def _edges(window: int, anchor: int, shared, bits: int):
                 before = np.where(at > first[of], hashed[np.maximum(at - 1, 0)], none)
                 after = np.where(at + window < first[of + 1], hashed[np.minimum(at + window, len(hashed) - 1)], none)
                 keys = part.column(0).to_numpy(zero_copy_only=False)
-                short = lambda x: (x >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                one = np.uint64(1)
+                near = (one << ((before >> np.uint64(59)) + np.uint64(32))) | (one << (after >> np.uint64(59)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole.view(np.int64)), pa.array(keys[of]), pa.array((at - first[of]).astype(np.int32)), pa.array(short(before)), pa.array(short(after))],
-                    names=["h", "doc", "pos", "before", "after"],
+                    [pa.array(whole.view(np.int64)), pa.array(keys[of]), pa.array((at - first[of]).astype(np.int32)), pa.array(near.view(np.int64))],
+                    names=["h", "doc", "pos", "near"],
                 )
 
     return run
@@ -119,12 +120,18 @@ def repeated_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     anchors = plain.mapInArrow(_anchors(window, anchor), "h long, doc long")
     twice = anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h")
     shared = spark.sparkContext.broadcast(_bitmap(twice, bitmap_bits).tobytes())
-    places = plain.mapInArrow(_edges(window, anchor, shared, bitmap_bits), "h long, doc long, pos int, before short, after short")
-    ends = [F.min("doc").alias("source"), F.max("doc").alias("_last"), *[f(c).alias(f"_{n}_{c}") for c in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max))]]
+    places = plain.mapInArrow(_edges(window, anchor, shared, bitmap_bits), "h long, doc long, pos int, near long")
+    release(spark)
+    ends = [F.min("doc").alias("source"), F.max("doc").alias("_last"), F.bit_or("near").alias("near")]
     edges = places.groupBy("h").agg(*ends).where("source < _last")
-    edges = edges.select("h", "source", (F.col("_lo_before") != F.col("_hi_before")).alias("joins"), (F.col("_lo_after") != F.col("_hi_after")).alias("forks"))
-    later = places.select("h", "doc", "pos").join(edges, "h").where("source < doc").select("doc", "pos", "source", "joins", "forks").distinct()
-    along = W.partitionBy("doc").orderBy("pos")
+    half = F.lit((1 << 32) - 1)
+    joins, forks = (F.bit_count(x) > 1 for x in (F.shiftrightunsigned("near", 32), F.col("near").bitwiseAND(half)))
+    edges = stored(edges.select("h", "source", (joins.cast("int") + 2 * forks.cast("int")).alias("turn")), "edges")
+    release(spark)
+    met = places.select("h", "doc", "pos").join(edges, "h").where("source < doc")
+    later = met.select("doc", (F.col("pos").cast("long") * 4 + F.col("turn")).alias("_at"), "source")
+    later = later.select("doc", "source", F.shiftright("_at", 2).cast("int").alias("pos"), (F.col("_at") % 2 == 1).alias("joins"), (F.shiftright("_at", 1) % 2 == 1).alias("forks"), "_at")
+    along = W.partitionBy("doc").orderBy("_at")
     opens = F.coalesce((F.col("pos") != F.lag("pos").over(along) + 1) | F.col("joins") | F.lag("forks").over(along) | (F.col("source") != F.lag("source").over(along)), F.lit(True))
     paths = later.withColumn("_open", opens).withColumn("_path", F.sum(F.col("_open").cast("int")).over(along))
     return paths.groupBy("doc", "_path").agg(F.min("pos").alias("start"), (F.max("pos") + window).alias("end"), F.min("source").alias("source")).drop("_path")
@@ -134,7 +141,10 @@ def dedup(documents: DataFrame, *, key: str = "doc_id", text: str = "text", out:
     """documents with `out` (the words that stay, joined by one space), n_words, n_removed and the spans that went."""
     spans = repeated_spans(documents, key=key, text=text, **how)
     listed = spans.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "source"))).alias("spans"))
-    joined = documents.join(stored(listed, "spans"), F.col(key).cast("long") == F.col("_doc"), "left").drop("_doc")
+    listed = stored(listed, "spans")
+    del spans
+    release(documents.sparkSession)
+    joined = documents.join(listed, F.col(key).cast("long") == F.col("_doc"), "left").drop("_doc")
     names = joined.columns
     fields = [*joined.schema.fields, T.StructField(out, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
 
