@@ -30,7 +30,7 @@ def lab_value(text: Column) -> Column:
 
 def abnormal(values: Column) -> Column:
     """The entries of a map of analytes whose value carries an abnormal marker."""
-    marked = lambda v: F.exists(F.array(*map(F.lit, ABNORMAL)), lambda m: F.locate(m, F.lower(v)) > 0)
+    marked = lambda v: F.exists(F.array(*map(F.lit, ABNORMAL)), lambda m: F.position(m, F.lower(v)) > 0)
     return F.map_filter(values, lambda _, v: marked(v))
 
 
@@ -107,7 +107,7 @@ def yes_no(text: Column) -> Column:
 def regimen(text: Column, drugs: dict[str, list[str]]) -> Column:
     """Sorted classes of which the text names a drug; chemotherapy with radiation also counts as chemoradiation."""
     low = F.lower(text)
-    hit = lambda names: F.exists(F.array(*map(F.lit, names)), lambda d: F.locate(d, low) > 0)
+    hit = lambda names: F.exists(F.array(*map(F.lit, names)), lambda d: F.position(d, low) > 0)
     held = F.array_compact(F.array(*[F.when(hit(names), F.lit(name)) for name, names in drugs.items()]))
     both = F.array_contains(held, "chemotherapy") & F.array_contains(held, "radiation")
     return F.array_sort(F.when(both, F.array_append(held, F.lit("chemoradiation"))).otherwise(held))

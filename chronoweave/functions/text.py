@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def found_at(text: Column, keyword: Column, case_sensitive: bool = False) -> Column:
     """1-based place of the keyword's first occurrence, 0 if none."""
-    return F.locate(keyword, text) if case_sensitive else F.locate(F.lower(keyword), F.lower(text))
+    return F.position(keyword, text) if case_sensitive else F.position(F.lower(keyword), F.lower(text))
 
 
 def snippet(text: Column, at: Column, length: Column, around: int) -> Column:
@@ -79,7 +79,7 @@ def first_class(text: Column, classes: list[tuple[str, list[str]]], otherwise: s
 
 def labels_in(text: Column, labels: list[str], otherwise: str = "unspecified", sep: str = "/") -> Column:
     """All labels the lower-cased text holds, in list order."""
-    held = F.filter(F.array(*map(F.lit, labels)), lambda x: F.locate(x, F.lower(text)) > 0)
+    held = F.filter(F.array(*map(F.lit, labels)), lambda x: F.position(x, F.lower(text)) > 0)
     return F.when(F.size(held) > 0, F.array_join(held, sep)).otherwise(F.lit(otherwise))
 
 
