@@ -6,7 +6,7 @@ adjacent pair is what merging its two tokens' bytes gives, which the merge tree
 pair are merged exactly. Results are remembered for each worker in a dictionary of bounded size.
 
 Defined results: a null text counts as empty, an empty text has no tokens and decodes to ''; special tokens' strings in a text
-become their ids; repeated rows and other columns are carried along.
+become their ids; repeated rows and other columns are carried along, but columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from chronoweave.llm.common import without
+from chronoweave.llm.rolling import slices
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that one worker remembers; the memory is emptied beyond it, so only time depends on it.
 REMEMBERED = 400_000
@@ -177,6 +180,7 @@ def encode(documents: DataFrame, vocab_text: str, *, text: str = "text", out: st
     `vocab_text` is the content of a tokenizer file; its fixed size bounds what is broadcast.
     """
     spark: SparkSession = documents.sparkSession
+    documents = without(documents, out, decoded)
     shared = spark.sparkContext.broadcast(vocab_text)
     names = [f.name for f in documents.schema.fields]
     schema = T.StructType([*documents.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
@@ -185,24 +189,9 @@ def encode(documents: DataFrame, vocab_text: str, *, text: str = "text", out: st
         codec = Codec(vocabulary(shared.value))
         at = names.index(text)
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 4 << 20):
                 tokens = codec.encode([x or "" for x in part.column(at).to_pylist()])
                 back = [codec.decode(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[*names, out, decoded])
 
     return documents.mapInArrow(run, schema)
-
-
-def slices(batch: pa.RecordBatch, column: int, characters: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts hold about so many bytes, so that token lists stay small."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > characters:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += int(n)
-    if start < batch.num_rows:
-        yield batch.slice(start)

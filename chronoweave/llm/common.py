@@ -29,6 +29,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that an operator is about to add: an input column named like an output is replaced."""
+    return df.drop(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where the cluster names none (local tests)."""
     context = spark.sparkContext

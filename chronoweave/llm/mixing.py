@@ -8,7 +8,8 @@ which ones fit; inside the block where the budget ends, documents follow by hash
 are ordered, never a source's rows, and what is broadcast holds at most sqrt(sources x documents) rows.
 
 Defined results: a null source is a source; a null text has no tokens; a source without tokens has weight 0 and its documents stay
-once; documents that agree in key and text share their fate; an empty table gives no rows; other columns are carried along.
+once; documents that agree in key and text share their fate; an empty table gives no rows; other columns are carried along, but those named
+epoch, block or draw are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import stored, words
+from chronoweave.llm.common import stored, without, words
 
 MOST_SOURCES = 100_000
 
@@ -100,7 +101,7 @@ def mix(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source
 
     Ordering one epoch's rows by draw gives its permutation: blocks in random order, documents in random order inside.
     """
-    spark = documents.sparkSession
+    spark, documents = documents.sparkSession, without(documents, "epoch", "block", "draw")
     spot = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     narrow = stored(documents.select(F.col(source).alias("_s"), spot.alias("_u"), F.size(words(F.col(text))).cast("long").alias("_t")), "mixing")
     totals = [tuple(r) for r in narrow.groupBy("_s").agg(F.count("*"), F.sum("_t")).limit(MOST_SOURCES + 1).collect()]

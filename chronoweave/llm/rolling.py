@@ -23,9 +23,8 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
             for name, base in (("up", BASE), ("down", INVERSE)):
-                steps = np.full(n, base, np.uint64)
+                steps = np.full(max(n, 1 << 16), base, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
         return self.up[:n], self.down[:n]

@@ -11,7 +11,7 @@ Driver memory: 2^FIRST_BITS cells, and 2^BITS more for each cell that is split:
 input, of one path and two numbers each, never rows. Rows that agree in text and identity are interchangeable and may take each other's slots.
 
 Defined results: a null text has size 1; an empty table gives no rows; repeated rows each get a slot of their own; null identities
-are allowed; other columns are carried along.
+are allowed; other columns are carried along, but input columns named size, shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import let, stored
+from chronoweave.llm.common import let, stored, without
 
 FIRST_BITS, BITS = 12, 6
 WIDTH = 128
@@ -87,6 +87,7 @@ def shard(documents: DataFrame, shards: int = 8, *, text: str = "text", identity
     `tolerance` is the share of a shard's bytes by which a splitter may miss its target. A cell holds at most `cell_bytes`, or
     1/least_cells of all bytes if that is less, unless a single key holds more.
     """
+    documents = without(documents, "size", "shard", "slot")
     h, g = F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.lit(2), F.col(identity))
     narrow = stored(documents.select(h.alias("h"), g.alias("g"), size_of(F.col(text)).alias("size")), "shard-keys")
     total, slack, wide = 0, 0.0, 0.0

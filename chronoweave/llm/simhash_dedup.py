@@ -42,7 +42,7 @@ def _segment(x: Column, start: int, bits: int) -> Column:
     """`bits` bits of the long x from bit `start`, around the ring."""
     start %= 64
     turned = F.shiftrightunsigned(x, start).bitwiseOR(F.shiftleft(x, 64 - start)) if start else x
-    return turned.bitwiseAND(F.lit((1 << bits) - 1))
+    return turned.bitwiseAND(F.lit(simhash._signed((1 << bits) - 1)))
 
 
 def _keys(x: Column, radius: int) -> list[Column]:
