@@ -11,25 +11,25 @@ from pyspark.sql.streaming import StreamingQuery
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, files_a_trigger: int = 100) -> DataFrame:
-    """Parquet files of events as they arrive."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+def read_events(spark: SparkSession, path: str, files_a_trigger: int = 100, late: str = "1 day") -> DataFrame:
+    """Parquet files of events as they arrive; an event more than `late` behind the newest may be left out."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_a_trigger).parquet(path).withWatermark("ts", late)
 
 
-def first_seen(events: DataFrame, late: str = "1 day") -> DataFrame:
+def first_seen(events: DataFrame) -> DataFrame:
     """Each event once, whatever is sent again within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
-def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     """A user's sessions: events without a gap as long as `gap`; a session is given out once the watermark has passed it."""
-    grouped = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+    grouped = events.groupBy("user_id", F.session_window("ts", gap).alias("w"))
     return grouped.agg(F.count("*").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "min_value", "max_value")
 
 
-def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
+def daily(events: DataFrame) -> DataFrame:
     """Per type and day: count, lowest, highest and mean value."""
-    grouped = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", "1 day").alias("w"))
+    grouped = events.groupBy("event_type", F.window("ts", "1 day").alias("w"))
     return grouped.agg(F.count("*").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value")).select("event_type", F.col("w.start").alias("day"), "n", "min_value", "max_value", "mean_value")
 
 
