@@ -173,6 +173,13 @@ def _best(rows: DataFrame, edges: dict[str, list[float]], p0: int, n0: int) -> t
     return best
 
 
+def _centred(rows: DataFrame, condition: Condition) -> Condition:
+    """The condition with its threshold moved half way to the next value, which changes nothing for `rows` and most for new ones."""
+    value = F.col(condition.feature)
+    low, high = rows.agg(F.max(F.when(value <= condition.threshold, value)), F.min(F.when(value > condition.threshold, value))).first()
+    return condition if low is None or high is None else Condition(condition.feature, condition.above, (low + high) / 2)
+
+
 def _counts(rows: DataFrame, prefixes: list[Column]) -> list[tuple[int, int]]:
     total = lambda x: F.coalesce(F.sum(x), F.lit(0))
     got = rows.agg(*[total(F.when(c, F.col("bad"))).alias(f"p{i}") for i, c in enumerate(prefixes)], *[total(F.when(c, 1 - F.col("bad"))).alias(f"n{i}") for i, c in enumerate(prefixes)]).first()
@@ -208,9 +215,9 @@ def learn(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
             best = _best(cover, edges, p, n)
             if best is None or best[0] <= 0 or (best[2], best[3]) == (p, n):
                 break
-            conditions.append(best[1])
             p, n = best[2], best[3]
-            cover = cover.where(best[1].column(stats_of))
+            conditions.append(_centred(cover, best[1]))
+            cover = cover.where(conditions[-1].column(stats_of))
         if not conditions:
             break
         prefixes = [Rule(tuple(conditions[: i + 1])) for i in range(len(conditions))]
