@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 #: Windows a worker remembers; the memory is emptied beyond it.
 REMEMBERED = 800_000
-LEVELS = {"strategy": zstandard.STRATEGY_BTOPT, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 5, "min_match": 4, "target_length": 32}
+LEVELS = {"strategy": zstandard.STRATEGY_BTULTRA2, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 7, "min_match": 4, "target_length": 128}
 
 
 def spread(text: bytes) -> bytes:
@@ -148,7 +148,7 @@ def _marks(taught: list[tuple[list[bytes], int]], strictness: float) -> set[byte
     return out
 
 
-def learn(rows: list[tuple[str | None, int, int]], share: float, *, size: int = 8192, strictness: float = 4.0) -> Model:
+def learn(rows: list[tuple[str | None, int, int]], share: float, *, size: int = 16_384, strictness: float = 6.0) -> Model:
     """The model of rows (text, label, fold): folds 0 and 1 train the dictionaries, fold 2 calibrates; share is label 1's among all."""
     texts = [((t or "").lower().encode("utf-8", "replace").split(), y, fold) for t, y, fold in rows]
     if len({y for _, y, _ in texts}) < 2:
