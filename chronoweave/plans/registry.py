@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -18,6 +20,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or make.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return make(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[key] = run

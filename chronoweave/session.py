@@ -1,7 +1,11 @@
-"""Session factory."""
+"""Session factory, and shipping of this package to executors."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +23,17 @@ def session(master: str = "local[8]", **extra: str) -> SparkSession:
     for key, value in (SETTINGS | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once for each context: their Python workers import its functions by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_chronoweave_shipped", False):
+        top = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="chronoweave-")) / "chronoweave_package.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(top.rglob("*.py")):
+                archive.write(file, file.relative_to(top.parent))
+        context.addPyFile(str(path))
+        context._chronoweave_shipped = True
+    return spark
