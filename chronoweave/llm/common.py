@@ -10,13 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.session import ship
+
 #: What separates words: the space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the folder; the package goes to the executors with the first one."""
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
