@@ -6,7 +6,8 @@ together, the first three in two, and so on. Candidates are indexed by a start s
 it (one differing bit spoils one quarter at most), the chains are checked, and only then the whole distance.
 
 Fingerprints of one text's shingles come from one hash aggregation. Copies are folded to distinct fingerprints before
-any candidate is formed, so a group of copies costs one index entry. Links are between distinct fingerprints; groups are connected components.
+any candidate is formed, so a group of copies costs one index entry. Groups are connected components; `roots` finds them without
+expanding a large group of near copies into its pairs, `links` lists all pairs.
 
 Defined results: null and empty texts have no shingles and fingerprint zero, linked like any other; repeated rows stay, in one
 group; null keys are ignored when a group's smallest key is taken; an empty table gives no rows; other columns are not touched.
@@ -14,6 +15,8 @@ group; null keys are ignored when a group's smallest key is taken; an empty tabl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,12 +99,39 @@ def fingerprinted(documents: DataFrame, *, key: str, text: str, width: int) -> D
     return simhash.vote(plain.select("_key", "_row", terms.alias("_terms")), ["_key", "_row"], F.col("_terms")).drop("_row").withColumnRenamed("_key", key)
 
 
+def roots(distinct: DataFrame, pieces: list[Column], words: list[str], near: Callable[[str, str], Column]) -> DataFrame:
+    """node, root: the components of the distinct fingerprints that share a key of `pieces` (structs of i and key) and are near.
+
+    near(x, y) is the whole test, on the columns `words` with x and y behind their names. No group is expanded into its pairs. First each
+    fingerprint meets one pivot of each of its buckets (the smallest), which joins a large group of near copies with as many links
+    as it has members. Then only fingerprints of different components meet, and of these only those outside the pivot's component
+    meet all of a bucket: every link between two components is still found, so the components are those of all links.
+    """
+    at = ["i", "key"]
+    side = lambda df, x, *more: df.select(*at, F.col("fingerprint").alias(x), *[F.col(n).alias(n + x) for n in words], *more)
+    spread = lambda df: df.select("*", F.explode(F.array(*pieces)).alias("t")).select(*df.columns, "t.i", "t.key")
+    pivots = spread(distinct).groupBy(*at).agg(F.min("fingerprint").alias("b"), *[F.min_by(n, "fingerprint").alias(n + "b") for n in words], F.count("*").alias("n")).where("n > 1").drop("n")
+    star = side(spread(distinct), "a").join(stored(pivots, "pivots"), at).where((F.col("a") != F.col("b")) & near("a", "b"))
+    first = components(star.select("a", "b").distinct())
+    label = F.coalesce("root", "fingerprint").alias("label")
+    known = stored(distinct.join(first, distinct["fingerprint"] == first["node"], "left").select("fingerprint", *[n for n in words if n != "fingerprint"], label), "labelled")
+    release(distinct.sparkSession)
+    major = stored(spread(known).groupBy(*at).agg(F.min_by("label", "fingerprint").alias("major")), "majors")
+    placed = stored(spread(known).join(major, at), "placed")
+    release(distinct.sparkSession)
+    minor = side(placed.where("label <> major"), "a", F.col("label").alias("la"))
+    others = side(placed, "b", F.col("label").alias("lb"))
+    met = minor.join(others, at).where((F.col("la") != F.col("lb")) & near("a", "b"))
+    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    kept = known.where("fingerprint <> label").select(F.col("fingerprint").alias("a"), F.col("label").alias("b"))
+    return components(kept.unionByName(rest))
+
+
 def _grouped(each: DataFrame, distinct: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """each (key, fingerprint) with component_id, from distinct (fingerprint, _first) and links between fingerprints."""
-    roots = components(found)
-    member = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root"))
+    """each (key, fingerprint) with component_id, from distinct (fingerprint, _first) and the roots of linked fingerprints."""
+    member = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root"))
     member = stored(member, "members")
-    lowest = member.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    lowest = stored(member.groupBy("_root").agg(F.min("_first").alias("component_id")), "lowest")
     named = member.join(lowest, "_root").select("fingerprint", "component_id")
     return each.join(named, "fingerprint").select(key, "fingerprint", "component_id")
 
@@ -109,8 +139,13 @@ def _grouped(each: DataFrame, distinct: DataFrame, found: DataFrame, key: str) -
 def groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """key, fingerprint (long) and component_id, the smallest key that links reach, for every row of documents."""
     each = stored(fingerprinted(documents, key=key, text=text, width=width), "fingerprints")
-    firsts = each.groupBy("fingerprint").agg(F.min(key).alias("_first"))
-    return _grouped(each, firsts, links(firsts, radius), key)
+    firsts = stored(each.groupBy("fingerprint").agg(F.min(key).alias("_first")), "distinct")
+
+    def near(x: str, y: str) -> Column:
+        differ = F.col(f"fingerprint{x}").bitwiseXOR(F.col(f"fingerprint{y}"))
+        return _chains(differ, radius) & (F.bit_count(differ) <= radius)
+
+    return _grouped(each, firsts, roots(firsts, _keys(F.col("fingerprint"), radius), ["fingerprint"], near), key)
 
 
 #: The wide fingerprint: so many words of 64 bits.
@@ -119,17 +154,14 @@ WORDS = 4
 SEGMENT, STRIDE = 16, 8
 #: Of 256 bits, how many may differ: about 44 are expected to at a Jaccard similarity of 0.75, 39 at 0.8, 33 at 0.85, 26 at 0.9.
 WIDE_RADIUS = 44
-#: How many of the 64 bits around an agreeing segment may differ; pairs within WIDE_RADIUS stay below but for less than 1 in 100.
-NEAR_RADIUS = 15
 
 
 def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """key and component_id, the smallest key of its group, for every row: groups of about 0.8 Jaccard similarity of shingles.
 
     A similarity of 0.8 leaves about 10 of 64 bits different, too many for segments that must agree, so this takes a fingerprint of
-    256 bits and segments of 16 bits on four rings: candidates agree on a segment, differ in at most NEAR_RADIUS bits along
-    its ring, have a start on the ring of the four words from which all chains stay within budget, and then differ in at most
-    WIDE_RADIUS bits over all. Of pairs of similarity 0.8 about 5 in 6 share a segment, of 0.85 more than 9 in 10, of 0.9 nearly all;
+    256 bits and segments of 16 bits on four rings: candidates agree on a segment, have a start on the ring of the four words
+    from which all chains stay within budget, and then differ in at most WIDE_RADIUS bits over all. Of pairs of similarity 0.8 about 5 in 6 share a segment, of 0.85 more than 9 in 10, of 0.9 nearly all;
     pairs of a group that miss each other mostly meet through a third.
     """
     names = [f"f{i}" for i in range(WORDS)]
@@ -139,19 +171,13 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     each = stored(whole.select(F.col("_key").alias(key), *names, F.xxhash64(*names).alias("fingerprint")), "fingerprints")
     release(documents.sparkSession)
     distinct = stored(each.groupBy("fingerprint").agg(F.min(key).alias("_first"), *[F.min(n).alias(n) for n in names]), "distinct")
-    pieces = [
-        F.struct(F.lit(i * 64 + start).alias("i"), _segment(F.col(n), start, SEGMENT).alias("key"), F.col(n).alias("f"))
-        for i, n in enumerate(names)
-        for start in range(0, 64, STRIDE)
-    ]
-    keyed = distinct.select("fingerprint", F.explode(F.array(*pieces)).alias("t"))
-    left, right = (keyed.select(F.col("fingerprint").alias(side), F.col("t.i").alias("i" + side), F.col("t.key").alias("key" + side), F.col("t.f").alias("f" + side)) for side in "ab")
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR_RADIUS
-    pairs = left.join(right, [F.col("ia") == F.col("ib"), F.col("keya") == F.col("keyb"), F.col("a") < F.col("b"), near]).select("a", "b").distinct()
-    words = lambda side: distinct.select(F.col("fingerprint").alias(side), *[F.col(n).alias(n + side) for n in names])
-    met = pairs.join(words("a"), "a").join(words("b"), "b")
-    differ = [F.bit_count(F.col(n + "a").bitwiseXOR(F.col(n + "b"))) for n in names]
-    found = met.where(_viable(differ, WIDE_RADIUS)).where(sum(differ[1:], differ[0]) <= WIDE_RADIUS).select("a", "b")
+    pieces = [F.struct(F.lit(i * 64 + start).alias("i"), _segment(F.col(n), start, SEGMENT).alias("key")) for i, n in enumerate(names) for start in range(0, 64, STRIDE)]
+
+    def near(x: str, y: str) -> Column:
+        differ = [F.bit_count(F.col(n + x).bitwiseXOR(F.col(n + y))) for n in names]
+        return _viable(differ, WIDE_RADIUS) & (sum(differ[1:], differ[0]) <= WIDE_RADIUS)
+
+    found = roots(distinct, pieces, names, near)
     return _grouped(each.select(key, "fingerprint"), distinct.select("fingerprint", "_first"), found, key).drop("fingerprint")
 
 
