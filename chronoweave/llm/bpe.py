@@ -25,7 +25,7 @@ from chronoweave.llm.rolling import slices
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that one worker remembers; the memory is emptied beyond it, so only time depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -189,7 +189,7 @@ def encode(documents: DataFrame, vocab_text: str, *, text: str = "text", out: st
         codec = Codec(vocabulary(shared.value))
         at = names.index(text)
         for batch in batches:
-            for part in slices(batch, at, 4 << 20):
+            for part in slices(batch, at, 1 << 20):
                 tokens = codec.encode([x or "" for x in part.column(at).to_pylist()])
                 back = [codec.decode(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[*names, out, decoded])

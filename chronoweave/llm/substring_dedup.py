@@ -152,7 +152,7 @@ def dedup(documents: DataFrame, *, key: str = "doc_id", text: str = "text", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, by = names.index(text), names.index("spans")
         for batch in batches:
-            for part in slices(batch, at, 8 << 20):
+            for part in slices(batch, at, 2 << 20):
                 kept, n_words, n_removed = [], [], []
                 for raw, gone in zip(part.column(at).cast(pa.binary()).to_pylist(), part.column(by).to_pylist(), strict=True):
                     spoken = (raw or b"").split()
