@@ -17,6 +17,10 @@ SETTINGS = {
 }
 
 
+#: Rows of long texts that go to a Python worker at once bound its memory.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def session(master: str = "local[8]", **extra: str) -> SparkSession:
     """A session with the settings the engine is tested under; extra settings win."""
     builder = SparkSession.builder.master(master)
@@ -26,7 +30,8 @@ def session(master: str = "local[8]", **extra: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for each context: their Python workers import its functions by name."""
+    """Sends this package to the executors, once for each context, as their Python workers import its functions by name; and
+    lowers the session's Arrow batches from the default."""
     context = spark.sparkContext
     if not getattr(context, "_chronoweave_shipped", False):
         top = Path(__file__).resolve().parent
@@ -36,4 +41,6 @@ def ship(spark: SparkSession) -> SparkSession:
                 archive.write(file, file.relative_to(top.parent))
         context.addPyFile(str(path))
         context._chronoweave_shipped = True
+    if int(spark.conf.get(BATCH_ROWS, "10000")) >= 10_000:  # Spark's default; a smaller choice stays
+        spark.conf.set(BATCH_ROWS, "2000")
     return spark
