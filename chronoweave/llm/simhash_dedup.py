@@ -148,37 +148,84 @@ def groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     return _grouped(each, firsts, roots(firsts, _keys(F.col("fingerprint"), radius), ["fingerprint"], near), key)
 
 
-#: The wide fingerprint: so many words of 64 bits.
-WORDS = 4
-#: Bits of a segment, and bits between the starts of two: they overlap, so that a pair has more chances to agree on one.
-SEGMENT, STRIDE = 16, 8
-#: Of 256 bits, how many may differ: about 44 are expected to at a Jaccard similarity of 0.75, 39 at 0.8, 33 at 0.85, 26 at 0.9.
-WIDE_RADIUS = 44
+#: Similar texts share at least SHARE[0] of SHARE[1] of the shingles that either has (Jaccard).
+SHARE = (4, 5)
+#: Shingles of at least COMMON texts in a sample of one in SAMPLE count as common, at most MOST_COMMON of them: only speed depends on these.
+SAMPLE, COMMON, MOST_COMMON = 16, 8, 5_000
+
+
+def _distinct_shingles(text: Column, width: int) -> Column:
+    """The sorted hashes of a text's different shingles: a repeated shingle counts once."""
+    return F.sort_array(F.array_distinct(shingles(text, width).getField("h")))
+
+
+def _sized(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return (SHARE[1] * a >= SHARE[0] * b) & (SHARE[1] * b >= SHARE[0] * a)
+
+
+def _prefix(shingle_set: Column, common: list[int]) -> Column:
+    """The shingles of which two similar sets share at least one: all but SHARE of a set, and one more, in one order for all sets.
+
+    Any common order is right; here it is by hash, and common shingles come last, so that a line of many texts seldom makes candidates.
+    """
+    n = F.size(shingle_set)
+    ordered = shingle_set
+    if common:
+        known = lambda x: x.isin(common)
+        ordered = F.concat(F.filter(shingle_set, lambda x: ~known(x)), F.filter(shingle_set, known))
+    return F.slice(ordered, 1, n - F.ceil(n * SHARE[0] / SHARE[1]).cast("int") + 1)
+
+
+def _common(plain: DataFrame, width: int) -> list[int]:
+    some = plain.where(F.pmod("_th", F.lit(SAMPLE)) == 0).dropDuplicates(["_th"])
+    counts = some.select(F.explode(_distinct_shingles(F.col("_text"), width)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    return [r[0] for r in counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()]
 
 
 def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """key and component_id, the smallest key of its group, for every row: groups of about 0.8 Jaccard similarity of shingles.
+    """key and component_id, the smallest key of its group, for every row: the groups that texts of a Jaccard similarity of SHARE or more link.
 
-    A similarity of 0.8 leaves about 10 of 64 bits different, too many for segments that must agree, so this takes a fingerprint of
-    256 bits and segments of 16 bits on four rings: candidates agree on a segment, have a start on the ring of the four words
-    from which all chains stay within budget, and then differ in at most WIDE_RADIUS bits over all. Of pairs of similarity 0.8 about 5 in 6 share a segment, of 0.85 more than 9 in 10, of 0.9 nearly all;
-    pairs of a group that miss each other mostly meet through a third.
+    Compared are the sets of shingles, exactly up to equal 64-bit hashes; no fingerprint distance stands for the similarity, as
+    none bounds it. Candidates share a shingle of their prefixes (see _prefix), which no similar pair fails to do, and each is then
+    held against the whole sets. Equal sets are folded first. As in `roots`, a shingle's texts meet its pivot, and then only texts of different
+    components meet. Texts without words form one group.
     """
-    names = [f"f{i}" for i in range(WORDS)]
-    plain = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    voted = simhash.vote(plain.select("_key", "_row", shingles(F.col("_text"), width).alias("_t")), ["_key", "_row"], F.col("_t"), out="_f", hashes=WORDS)
-    whole = voted.groupBy("_key", "_row").agg(*[F.max(F.when(F.col("_i") == i, F.col("_f"))).alias(n) for i, n in enumerate(names)])
-    each = stored(whole.select(F.col("_key").alias(key), *names, F.xxhash64(*names).alias("fingerprint")), "fingerprints")
+    plain = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_th"))
+    shingled = plain.select("_key", "_th", _distinct_shingles(F.col("_text"), width).alias("_set"))
+    cut = _prefix(F.col("_set"), _common(plain, width))
+    each = stored(shingled.select(F.col("_key").alias(key), "_th", F.xxhash64("_set").alias("fingerprint"), F.size("_set").alias("n"), cut.alias("_cut")), "sets")
+    whose = F.min(F.struct(F.col(key).alias("_key"), "_th")).alias("_whose")
+    distinct = stored(each.groupBy("fingerprint").agg(F.min(key).alias("_first"), whose, F.first("n").alias("n"), F.first("_cut").alias("_cut")), "distinct")
+    spread = distinct.select(F.col("fingerprint").alias("a"), "n", F.explode("_cut").alias("h"))
+    pivots = stored(spread.groupBy("h").agg(F.min(F.struct("a", "n")).alias("p"), F.max("a").alias("z")).where("p.a <> z").select("h", F.col("p.a").alias("b"), F.col("p.n").alias("m")), "pivots")
+    release(documents.sparkSession)
+    shared = stored(spread.join(pivots, "h"), "shared")
+    release(documents.sparkSession)
+    wanted = distinct.join(shared.select("a").distinct(), F.col("fingerprint") == F.col("a"), "left_semi").select("fingerprint", "_whose._key", "_whose._th")
+    found = plain.withColumnsRenamed({"_key": "_k", "_th": "_t"}).join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_th")))
+    sets = stored(found.dropDuplicates(["fingerprint"]).select("fingerprint", _distinct_shingles(F.col("_text"), width).alias("s")), "candidates")
     release(documents.sparkSession)
-    distinct = stored(each.groupBy("fingerprint").agg(F.min(key).alias("_first"), *[F.min(n).alias(n) for n in names]), "distinct")
-    pieces = [F.struct(F.lit(i * 64 + start).alias("i"), _segment(F.col(n), start, SEGMENT).alias("key")) for i, n in enumerate(names) for start in range(0, 64, STRIDE)]
-
-    def near(x: str, y: str) -> Column:
-        differ = [F.bit_count(F.col(n + x).bitwiseXOR(F.col(n + y))) for n in names]
-        return _viable(differ, WIDE_RADIUS) & (sum(differ[1:], differ[0]) <= WIDE_RADIUS)
 
-    found = roots(distinct, pieces, names, near)
-    return _grouped(each.select(key, "fingerprint"), distinct.select("fingerprint", "_first"), found, key).drop("fingerprint")
+    def similar(pairs: DataFrame) -> DataFrame:
+        side = lambda x: sets.select(F.col("fingerprint").alias(x), F.col("s").alias("s" + x))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        in_both = F.size(F.array_intersect("sa", "sb"))
+        return stored(both.where(sum(SHARE) * in_both >= SHARE[0] * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
+
+    star = similar(shared.where((F.col("a") != F.col("b")) & _sized(F.col("n"), F.col("m"))).select("a", "b").distinct())
+    first = components(star)
+    named = lambda x, out: first.select(F.col("node").alias(x), F.col("root").alias(out))
+    of = lambda x, out: F.coalesce(out, x).alias(out)
+    placed = shared.join(named("a", "la"), "a", "left").join(named("b", "major"), "b", "left").where("a <> b").select("h", "a", "n", of("a", "la"), of("b", "major"))
+    placed = stored(placed, "placed")
+    release(documents.sparkSession)
+    minor = placed.where("la <> major").drop("major")
+    others = placed.select("h", F.col("a").alias("b"), F.col("n").alias("m"), F.col("la").alias("lb"))
+    met = minor.join(others, "h").where((F.col("la") != F.col("lb")) & _sized(F.col("n"), F.col("m")))
+    rest = similar(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = components(star.unionByName(rest))
+    return _grouped(each.select(key, "fingerprint"), distinct.select("fingerprint", "_first"), linked, key).drop("fingerprint")
 
 
 def first_of_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:

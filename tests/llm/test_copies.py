@@ -176,3 +176,12 @@ def test_first_of_groups_keeps_clean_and_drops_near_copies(spark):
     kept = {r[0] for r in simhash_dedup.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(40)) <= kept
     assert not kept & set(range(60, 65)) and len(kept & set(range(40, 60))) <= 1
+
+
+def test_one_repeated_line_does_not_make_texts_alike(spark):
+    """Every text has 2,000 words of its own and one line of eight words 45 times: 36 distinct shingles or fewer in common."""
+    line = " ".join(f"rule{i}" for i in range(8))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(2000)) + f" {line}" * 45) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash_dedup.similar_groups(df).collect())) == [(i, i) for i in range(12)]
+    assert simhash_dedup.first_of_groups(df).count() == 12
