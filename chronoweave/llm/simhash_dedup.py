@@ -152,6 +152,8 @@ def groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", wid
 SHARE = (4, 5)
 #: Shingles of at least COMMON texts in a sample of one in SAMPLE count as common, at most MOST_COMMON of them: only speed depends on these.
 SAMPLE, COMMON, MOST_COMMON = 16, 8, 5_000
+#: A prefix holds one shingle in SPARE more than it must; as many more have to be shared.
+SPARE = 20
 
 
 def _distinct_shingles(text: Column, width: int) -> Column:
@@ -164,17 +166,29 @@ def _sized(a: Column, b: Column) -> Column:
     return (SHARE[1] * a >= SHARE[0] * b) & (SHARE[1] * b >= SHARE[0] * a)
 
 
+def _least(n: Column) -> Column:
+    """How many shingles of its prefix a set of this size shares with any similar set that has no smaller demand."""
+    return F.floor(n / SPARE).cast("int") + 1
+
+
 def _prefix(shingle_set: Column, common: list[int]) -> Column:
-    """The shingles of which two similar sets share at least one: all but SHARE of a set, and one more, in one order for all sets.
+    """The first shingles of a set in one order for all sets: all but SHARE of the set, and _least.
 
-    Any common order is right; here it is by hash, and common shingles come last, so that a line of many texts seldom makes candidates.
+    Of t shingles that two sets share, the first k are among the first n - (t - k) of either: similar sets share the smaller _least of both in
+    their prefixes. Any common order is right; here it is by hash, and common shingles come last, so that a line of many texts seldom
+    makes candidates.
     """
     n = F.size(shingle_set)
     ordered = shingle_set
     if common:
         known = lambda x: x.isin(common)
         ordered = F.concat(F.filter(shingle_set, lambda x: ~known(x)), F.filter(shingle_set, known))
-    return F.slice(ordered, 1, n - F.ceil(n * SHARE[0] / SHARE[1]).cast("int") + 1)
+    return F.slice(ordered, 1, n - _at_least(n) + _least(n))
+
+
+def _at_least(n: Column) -> Column:
+    """How many shingles a similar set shares with one of n, and has, at least."""
+    return F.ceil(n * SHARE[0] / SHARE[1]).cast("int")
 
 
 def _common(plain: DataFrame, width: int) -> list[int]:
@@ -187,7 +201,7 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     """key and component_id, the smallest key of its group, for every row: the groups that texts of a Jaccard similarity of SHARE or more link.
 
     Compared are the sets of shingles, exactly up to equal 64-bit hashes; no fingerprint distance stands for the similarity, as
-    none bounds it. Candidates share a shingle of their prefixes (see _prefix), which no similar pair fails to do, and each is then
+    none bounds it. Candidates share enough shingles of their prefixes (see _prefix), which no similar pair fails to do, and each is then
     held against the whole sets. Equal sets are folded first. As in `roots`, a shingle's texts meet its pivot, and then only texts of different
     components meet. Texts without words form one group.
     """
@@ -198,32 +212,43 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     whose = F.min(F.struct(F.col(key).alias("_key"), "_th")).alias("_whose")
     distinct = stored(each.groupBy("fingerprint").agg(F.min(key).alias("_first"), whose, F.first("n").alias("n"), F.first("_cut").alias("_cut")), "distinct")
     spread = distinct.select(F.col("fingerprint").alias("a"), "n", F.explode("_cut").alias("h"))
-    pivots = stored(spread.groupBy("h").agg(F.min(F.struct("a", "n")).alias("p"), F.max("a").alias("z")).where("p.a <> z").select("h", F.col("p.a").alias("b"), F.col("p.n").alias("m")), "pivots")
-    release(documents.sparkSession)
-    shared = stored(spread.join(pivots, "h"), "shared")
+    pivots = lambda df: df.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").select("h", "b")
+    met = stored(spread.join(stored(pivots(spread), "pivots").select("h"), "h"), "met")
     release(documents.sparkSession)
-    wanted = distinct.join(shared.select("a").distinct(), F.col("fingerprint") == F.col("a"), "left_semi").select("fingerprint", "_whose._key", "_whose._th")
-    found = plain.withColumnsRenamed({"_key": "_k", "_th": "_t"}).join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_th")))
-    sets = stored(found.dropDuplicates(["fingerprint"]).select("fingerprint", _distinct_shingles(F.col("_text"), width).alias("s")), "candidates")
+    enough = met.groupBy("a").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _least(_at_least(F.col("n")))).select("a")
+    shared = stored(met.join(enough, "a", "left_semi"), "shared")
     release(documents.sparkSession)
 
     def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose whole sets are similar."""
+        pairs = stored(pairs, "pairs")
+        nodes = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
+        wanted = distinct.join(nodes, "fingerprint", "left_semi").select("fingerprint", "_whose._key", "_whose._th")
+        found = plain.withColumnsRenamed({"_key": "_k", "_th": "_t"}).join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_th")))
+        sets = stored(found.dropDuplicates(["fingerprint"]).select("fingerprint", _distinct_shingles(F.col("_text"), width).alias("s")), "candidates")
+        release(documents.sparkSession)
         side = lambda x: sets.select(F.col("fingerprint").alias(x), F.col("s").alias("s" + x))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         in_both = F.size(F.array_intersect("sa", "sb"))
         return stored(both.where(sum(SHARE) * in_both >= SHARE[0] * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
 
-    star = similar(shared.where((F.col("a") != F.col("b")) & _sized(F.col("n"), F.col("m"))).select("a", "b").distinct())
-    first = components(star)
-    named = lambda x, out: first.select(F.col("node").alias(x), F.col("root").alias(out))
-    of = lambda x, out: F.coalesce(out, x).alias(out)
-    placed = shared.join(named("a", "la"), "a", "left").join(named("b", "major"), "b", "left").where("a <> b").select("h", "a", "n", of("a", "la"), of("b", "major"))
-    placed = stored(placed, "placed")
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """(a, b) of rows (a, n, b, m), one for each shared shingle, that are of like size and share enough."""
+        counted = pairs.where(_sized(F.col("n"), F.col("m"))).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("n", "m")).alias("n"))
+        return counted.where(F.col("c") >= _least(F.col("n"))).select("a", "b")
+
+    sizes = distinct.select(F.col("fingerprint").alias("b"), F.col("n").alias("m"))
+    starred = shared.join(pivots(shared), "h").where("a <> b").groupBy("a", "n", "b").agg(F.count("*").alias("c"))
+    starred = starred.join(sizes, "b").where(_sized(F.col("n"), F.col("m")) & (F.col("c") >= _least(F.least("n", "m"))))
+    star = similar(starred.select("a", "b"))
+    first = components(star).select(F.col("node").alias("a"), F.col("root").alias("la"))
+    placed = stored(shared.join(first, "a", "left").select("h", "a", "n", F.coalesce("la", "a").alias("la")), "placed")
+    major = placed.groupBy("h").agg(F.mode("la").alias("major"), F.min("la").alias("y"), F.max("la").alias("z")).where("y <> z").select("h", "major")
+    placed = stored(placed.join(major, "h").select("h", "a", "n", "la", (F.col("la") != F.col("major")).alias("minor")), "placed")
     release(documents.sparkSession)
-    minor = placed.where("la <> major").drop("major")
-    others = placed.select("h", F.col("a").alias("b"), F.col("n").alias("m"), F.col("la").alias("lb"))
-    met = minor.join(others, "h").where((F.col("la") != F.col("lb")) & _sized(F.col("n"), F.col("m")))
-    rest = similar(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    others = placed.select("h", F.col("a").alias("b"), F.col("n").alias("m"), F.col("la").alias("lb"), F.col("minor").alias("also"))
+    across = placed.where("minor").join(others, "h").where((F.col("la") != F.col("lb")) & (~F.col("also") | (F.col("a") < F.col("b"))))
+    rest = similar(candidates(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")))
     linked = components(star.unionByName(rest))
     return _grouped(each.select(key, "fingerprint"), distinct.select("fingerprint", "_first"), linked, key).drop("fingerprint")
 
