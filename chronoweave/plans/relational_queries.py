@@ -31,6 +31,12 @@ def parent_lookup(t):
     return met.groupBy("l_orderkey", "l_linenumber", "o_orderstatus", "o_custkey").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, o_orderstatus, o_custkey, count(*) AS n FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""")
+def parent_lookup_all(t):
+    met = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return met.groupBy("l_orderkey", "l_linenumber", "o_orderstatus", "o_custkey").agg(F.count("*").alias("n"))
+
+
 @query("""WITH r AS (SELECT l_orderkey, l_partkey, p_partkey, s.s_suppkey FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size < 25 LEFT JOIN supplier s ON s.s_suppkey = p_partkey % 120)
 SELECT CASE WHEN p_partkey IS NULL THEN 'invalid_ref' WHEN s_suppkey IS NULL THEN 'missing_node' ELSE 'linked' END AS state, count(*) AS n FROM r GROUP BY 1""")
 def ref_resolution_audit(t):
@@ -137,6 +143,12 @@ def provenance_chain(t):
     return met.groupBy("l_orderkey", "o_custkey", "c_nationkey", "n_name").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT l_orderkey, o_custkey, c_nationkey, n_name, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
+def provenance_chain_all(t):
+    met = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return met.groupBy("l_orderkey", "o_custkey", "c_nationkey", "n_name").agg(F.count("*").alias("n"))
+
+
 REFS = "SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.08"
 
 
@@ -148,6 +160,14 @@ def connected_components(t):
     return refs.select(F.col("o").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+@query()
+def connected_components_all(t):
+    """Every order of lineitem with the smallest order that shared parts link it to. No SQL: the recursive CTE lists all pairs."""
+    refs = t("lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    found = graph.components(graph.events_sharing_refs(refs, "o", "p"))
+    return refs.select(F.col("o").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 @query("""SELECT l_orderkey, max(l_quantity) AS top, min(l_shipdate::DATE)::VARCHAR AS first_day, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(*) AS n_merged, arg_max(l_partkey, (l_extendedprice, -l_partkey)) AS best FROM lineitem GROUP BY l_orderkey""")
 def merge_fields(t):
     return t("lineitem").groupBy("l_orderkey").agg(

@@ -226,3 +226,27 @@ def test_index_percentiles_and_drift(spark):
     assert (got["n"], got["m"], got["p"]) == (10, 6, 10)
     a, b = (spark.createDataFrame([(x,) for x in xs], "k string") for xs in ("aab", "bc"))
     assert {r["k"]: r["delta"] for r in rollup.drift(a, b, "k").collect()} == pytest.approx({"a": -66.666667, "b": 16.666667, "c": 50.0})
+
+
+def test_components_of_all_lines_are_those_of_union_find(spark, tmp_path):
+    """Lines of any quantity and discount link their orders; an order without a shared part stands alone."""
+    import random
+
+    from chronoweave.plans import catalogue
+
+    rng = random.Random(6)
+    lines = [(rng.randrange(1, 120), rng.randrange(1, 160), float(rng.randrange(1, 51)), rng.randrange(11) / 100) for _ in range(170)] + [(500, 900, 1.0, 0.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parent = {o: o for o, *_ in lines}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    seen = {}
+    for o, p, *_ in lines:
+        a, b = find(o), find(seen.setdefault(p, o))
+        parent[max(a, b)] = min(a, b)
+    got = dict(map(tuple, catalogue.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()))
+    assert got == {o: find(o) for o in parent} and len(set(got.values())) > 2
