@@ -75,6 +75,15 @@ def overlap_anti(t):
     return t("orders").where("o_orderkey < 3000").join(bad, "o_orderkey", "left_anti").select("o_orderkey")
 
 
+@query("""SELECT o_orderkey FROM orders o WHERE o_orderkey NOT IN (SELECT a.l_orderkey FROM lineitem a JOIN orders x ON x.o_orderkey = a.l_orderkey JOIN lineitem b ON a.l_partkey = b.l_partkey JOIN orders y ON y.o_orderkey = b.l_orderkey WHERE y.o_orderdate < x.o_orderdate)""")
+def overlap_anti_all(t):
+    """All orders none of whose parts was in an order of an earlier date: each order is held against all lines before it."""
+    lines = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_partkey", "o_orderdate")
+    first = lines.groupBy("l_partkey").agg(F.min("o_orderdate").alias("first"))
+    bad = lines.join(first, "l_partkey").where("first < o_orderdate").select("o_orderkey").distinct()
+    return t("orders").join(bad, "o_orderkey", "left_anti").select("o_orderkey")
+
+
 @query("""SELECT p_partkey, string_agg(CAST(s.l_suppkey AS VARCHAR), ',' ORDER BY s.l_suppkey) AS images, min(o.o_orderkey) AS report FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) s ON s.l_partkey = p_partkey
 JOIN (SELECT l_partkey, min(l_orderkey) AS o_orderkey FROM lineitem GROUP BY 1) o ON o.l_partkey = p_partkey GROUP BY p_partkey""")
 def assemble_study(t):
