@@ -6,7 +6,9 @@ are broadcast; for every document exact cosine products with all of them are com
 vote, and votes are weighted by a power of the similarity.
 
 Defined results: null and empty texts, which have no vector, get the share of label 1 in the sample, as does every text if there are
-fewer than two labelled rows; nulls among labels are left out; repeated rows and other columns are carried along.
+fewer than two labelled rows; very long texts are scored whole; nulls among labels are left out, and a key with both labels counts as
+label 1; equally near neighbours are taken in the order of the sample; repeated rows and other columns are carried along, but an input
+column named like the output is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,17 +112,23 @@ def learn(rows: list[tuple[bytes | None, int]], *, dimensions: int = 64, neighbo
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", allowed: Column | None = None, sample_rows: int = 4_000, longest: int = 200_000) -> Model:
+def train(
+    documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", allowed: Column | None = None,
+    sample_rows: int = 4_000, longest: int = 200_000, sample_chars: int = 80_000_000,
+) -> Model:
     """The model of at most `sample_rows` labelled documents, those with the smallest hash of their key.
 
-    Of these none with more than `longest` characters: together the two bound what the driver holds and what is broadcast (one
-    vector for each row). `allowed` says which keys' labels may be used.
+    Of these none with more than `longest` characters, and in the same order no more than `sample_chars` characters: this bounds what the
+    driver holds and what is broadcast (one vector for each row). `allowed` says which keys' labels may be used.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if allowed is None else allowed))
     known = known.groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
-    picked = known.orderBy(F.xxhash64(F.lit(31), "_k"), "_k").limit(sample_rows)
-    met = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k").where(F.coalesce(F.length("_t"), F.lit(0)) <= longest)
-    rows = met.toArrow().sort_by([("_k", "ascending"), ("_t", "ascending")])
+    order = F.xxhash64(F.lit(31), "_k")
+    picked = known.orderBy(order, "_k").limit(sample_rows)
+    met = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k").withColumn("_n", F.coalesce(F.length("_t"), F.lit(0)))
+    upto = F.sum("_n").over(W.orderBy(order, "_k", "_t").rowsBetween(W.unboundedPreceding, 0))  # of the sample's rows only
+    met = met.where(F.col("_n") <= longest).withColumn("_upto", upto).where(F.col("_upto") <= sample_chars)
+    rows = met.select("_k", "_t", "_y").toArrow().sort_by([("_k", "ascending"), ("_t", "ascending")])
     return learn(list(zip(rows.column("_t").cast(pa.binary()).to_pylist(), rows.column("_y").to_pylist(), strict=True)))
 
 

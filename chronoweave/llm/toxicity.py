@@ -1,16 +1,19 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
 A window is one lower-cased word between two runs of common text, spread to two bytes a letter so that a match costs less than its
-letters. Each window is compressed with two dictionaries: both end with the same dictionary of ordinary text; before it one has a dictionary
-trained on the words that toxic documents use far more often than ordinary ones, the other one trained on words of ordinary documents. The
-difference of the two lengths is how much nearer the window is to toxic text. Windows whose difference reaches a
-threshold are hits, for two thresholds; a logistic curve over their shares and numbers, calibrated on labelled rows that trained no dictionary, gives the score.
-The thresholds are chosen there too.
+letters. Each window is compressed with two dictionaries: both end with the same dictionary, trained on whole ordinary documents; one
+begins with a dictionary trained on those words of toxic documents that hold a fragment (six bytes) which toxic documents have far more
+often, the other one with a dictionary trained on the less frequent words of ordinary documents. The difference of the two lengths is how
+much nearer the window is to toxic text: whole words, stems and endings match alike, as far as they match. Windows whose difference reaches
+a threshold are hits, for two thresholds; a logistic curve over their shares and numbers, calibrated on labelled rows that trained no
+dictionary, gives the score. The thresholds are chosen there too.
 
 Lengths depend on the word alone, so each worker remembers them, up to a bound.
 
-Defined results: null and empty texts have no window and get the score of a text without hits; nulls among labels are left out;
-without rows of both labels every score is the share of label 1 (0 without labels); repeated rows and other columns are carried along.
+Defined results: null and empty texts have no window and get the score of a text without hits; very long texts are scored whole; nulls
+among labels are left out, and a key with both labels counts as toxic; without rows of both labels every score is the share of label 1 (0
+without labels); repeated rows and other columns are carried along, but an input column named like the output is replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,49 +122,66 @@ def _fit(rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train on."""
+    """A dictionary trained on all of the samples; samples that fit in it whole are one without training."""
     samples = [s for s in samples if len(s) >= 8]
     if sum(map(len, samples)) <= size:
-        return b" ".join(samples)[:size]
-    try:
-        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b" ".join(samples)[:size]
-
-
-def _marks(taught: list[tuple[list[bytes], int]], strictness: float) -> set[bytes]:
-    """Words that toxic documents have more often, by a likelihood ratio that chance among so many words does not reach."""
-    count = (Counter(), Counter())
-    for w, y in taught:
-        count[y].update(set(w))
-    n = [sum(y == k for _, y in taught) for k in (0, 1)]
-    tried = {w: a for w, a in count[1].items() if a >= 3}
-    least = strictness * math.log(len(tried) + 10)
-    out = set()
-    for word, a in tried.items():
-        b = count[0][word]
-        if a * n[0] > 3 * b * n[1]:
-            rate = (a + b) / (n[0] + n[1])
-            term = lambda k, e: k * math.log(k / e) if k else 0.0
-            ratio = 2 * (term(a, n[1] * rate) + term(b, n[0] * rate) + term(n[1] - a, n[1] * (1 - rate)) + term(n[0] - b, n[0] * (1 - rate)))
-            if ratio >= least:
-                out.add(word)
-    return out
+        return b" ".join(dict.fromkeys(samples))
+    random.Random(len(samples)).shuffle(samples)  # the trainer takes its pieces from the samples' beginning to their end
+    return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
+
+
+def _fragments(word: bytes, n: int = 6) -> set[bytes]:
+    """The runs of n bytes of a word between spaces; a shorter word is one run."""
+    held = b" " + word + b" "
+    return {held[i : i + n] for i in range(max(1, len(held) - n + 1))}
 
 
-def learn(rows: list[tuple[str | None, int, int]], share: float, *, size: int = 16_384, strictness: float = 6.0) -> Model:
+class _Marks:
+    """Which words of a text hold a fragment that toxic documents have more often, by a likelihood ratio that chance among so many does not reach.
+
+    Fragments, not words: a stem with many endings is seen as one.
+    """
+
+    def __init__(self, taught: list[tuple[list[bytes], int]], strictness: float):
+        self.of: dict[bytes, set[bytes]] = {}
+        count = (Counter(), Counter())
+        for w, y in taught:
+            count[y].update(set().union(*map(self._held, set(w))))
+        n = [sum(y == k for _, y in taught) for k in (0, 1)]
+        least = strictness * math.log(len(count[1]) + 10)
+        term = lambda k, e: k * math.log(k / e) if k else 0.0
+        self.found = set()
+        for fragment, a in count[1].items():
+            b = count[0][fragment]
+            if a * n[0] > 3 * b * n[1]:
+                rate = (a + b) / (n[0] + n[1])
+                ratio = 2 * (term(a, n[1] * rate) + term(b, n[0] * rate) + term(n[1] - a, n[1] * (1 - rate)) + term(n[0] - b, n[0] * (1 - rate)))
+                if ratio >= least:
+                    self.found.add(fragment)
+
+    def _held(self, word: bytes) -> set[bytes]:
+        if word not in self.of:
+            self.of[word] = _fragments(word)
+        return self.of[word]
+
+    def __contains__(self, word: bytes) -> bool:
+        return not self.found.isdisjoint(self._held(word))
+
+
+def learn(rows: list[tuple[str | None, int, int]], share: float, *, size: int = 4_096, strictness: float = 6.0) -> Model:
     """The model of rows (text, label, fold): folds 0 and 1 train the dictionaries, fold 2 calibrates; share is label 1's among all."""
     texts = [((t or "").lower().encode("utf-8", "replace").split(), y, fold) for t, y, fold in rows]
     if len({y for _, y, _ in texts}) < 2:
         return Model(b"", b"", b"", (0, 0), [float(share)])
     taught = [(w, y) for w, y, fold in texts if fold < 2]
     taught = taught if len({y for _, y in taught}) == 2 else [(w, y) for w, y, _ in texts]
-    marked = _marks(taught, strictness)
-    sides = [[[x for x in w if (x in marked) == bool(label)] for w, y in taught if y == label] for label in (0, 1)]
-    seen = Counter(x for w in sides[0] for x in set(w))
-    common = _dictionary(size, [b" ".join(w[i : i + 8]) for w in sides[0] for i in range(0, len(w), 8)][:200_000])
-    parts = [_dictionary(size, [b" ".join(w) for w in side]) for side in (sides[1], [[x for x in w if 3 <= seen[x] <= len(sides[0]) // 10] for w in sides[0]])]
-    model = Model(parts[0], parts[1], common or b" ", (0, 0), [0.0] * 5)
+    marks = _Marks(taught, strictness)
+    ordinary = [w for w, y in taught if not y]
+    seen = Counter(x for w in ordinary for x in set(w))
+    common = _dictionary(size, [b" ".join(w[i : i + 8]) for w in ordinary for i in range(0, len(w), 8)])
+    toxic = _dictionary(size, [b" ".join(x for x in w if x in marks) for w, y in taught if y])
+    rare = _dictionary(size, [b" ".join(x for x in w if 3 <= seen[x] <= len(ordinary) // 10) for w in ordinary])
+    model = Model(toxic, rare, common or b" ", (0, 0), [0.0] * 5)
     held = [(w, y) for w, y, fold in texts if fold == 2]
     held = held if len({y for _, y in held}) == 2 else [(w, y) for w, y, _ in texts]
     found = [[model.difference(x) for x in w] for w, _ in held]
@@ -178,22 +199,28 @@ def learn(rows: list[tuple[str | None, int, int]], share: float, *, size: int =
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", allowed: Column | None = None, rows_a_label: int = 4_000, longest: int = 200_000) -> Model:
+def train(
+    documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", allowed: Column | None = None,
+    rows_a_label: int = 4_000, longest: int = 200_000, chars_a_label: int = 40_000_000,
+) -> Model:
     """The model of labelled documents.
 
-    At most `rows_a_label` rows of each label are read, those with the smallest hash of their key, and of these none with more
-    than `longest` characters: together they bound the driver's memory. `allowed` says which keys' labels may be used.
+    At most `rows_a_label` rows of each label are read, those with the smallest hash of their key, of these none with more than
+    `longest` characters, and in the same order no more than `chars_a_label` characters: this bounds the driver's memory, whatever
+    the input. `allowed` says which keys' labels may be used.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if allowed is None else allowed))
     known = known.groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
     shares = known.groupBy("_y").count().collect()
     total = sum(r["count"] for r in shares)
     share = sum(r["count"] for r in shares if r["_y"] == 1) / total if total else 0.0
-    picked = None
+    picked, order = None, F.xxhash64(F.lit(23), "_k")
     for y in (0, 1):
-        part = known.where(F.col("_y") == y).orderBy(F.xxhash64(F.lit(23), "_k"), "_k").limit(rows_a_label)
+        part = known.where(F.col("_y") == y).orderBy(order, "_k").limit(rows_a_label)
         picked = part if picked is None else picked.union(part)
-    met = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k").where(F.coalesce(F.length("_t"), F.lit(0)) <= longest)
+    met = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k").withColumn("_n", F.coalesce(F.length("_t"), F.lit(0)))
+    upto = F.sum("_n").over(W.partitionBy("_y").orderBy(order, "_k", "_t").rowsBetween(W.unboundedPreceding, 0))
+    met = met.where(F.col("_n") <= longest).withColumn("_upto", upto).where(F.col("_upto") <= chars_a_label)
     rows = met.select("_k", "_t", "_y", F.pmod(F.xxhash64(F.lit(29), "_k"), F.lit(3)).cast("int").alias("_f")).toArrow().sort_by([("_k", "ascending"), ("_t", "ascending")])
     return learn(list(zip(rows.column("_t").to_pylist(), rows.column("_y").to_pylist(), rows.column("_f").to_pylist(), strict=True)), share)
 
