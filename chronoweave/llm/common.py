@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,20 +39,31 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the cluster names none (local tests)."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where all run in this process (master local)."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
         named = context.getCheckpointDir()
     return named
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage, survives lost executors."""
+    """df written as a table in the shared folder and read back: cuts the lineage, survives lost executors. See `discard`."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that no later plan reads: call it once what was made of them is itself stored."""
+    for table in tables:
+        java = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        java.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(java, True)
 
 
 def release(spark: SparkSession) -> None:

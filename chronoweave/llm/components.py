@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import stored
+from chronoweave.llm.common import discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = mark(edges)
     if before[0]:
         for _ in range(rounds):
-            edges = stored(_small(_large(edges)), "links")
+            last, edges = edges, stored(_small(_large(edges)), "links")
+            discard(last)
             now = mark(edges)
             if now == before:
                 break

@@ -9,8 +9,11 @@ Fingerprints of one text's shingles come from one hash aggregation. Copies are f
 any candidate is formed, so a group of copies costs one index entry. Groups are connected components; `roots` finds them without
 expanding a large group of near copies into its pairs, `links` lists all pairs.
 
-Defined results: null and empty texts have no shingles and fingerprint zero, linked like any other; repeated rows stay, in one
-group; null keys are ignored when a group's smallest key is taken; an empty table gives no rows; other columns are not touched.
+`similar_groups` links texts by the Jaccard similarity of their shingles, the pipeline's rule, with pigeonring chains over other fingerprints.
+
+Defined results: null and empty texts have no shingles and fingerprint zero, linked like any other; very long texts take part whole;
+repeated rows stay, in one group; of equal keys and texts any one stands for all; null keys are ignored when a group's smallest key is taken;
+an empty table gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import simhash
-from chronoweave.llm.common import let, release, stored, words
+from chronoweave.llm.common import discard, let, release, stored, words
 from chronoweave.llm.components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,14 +74,14 @@ def _chains(differ: Column, radius: int) -> Column:
     return _viable([F.bit_count(_segment(differ, edge[i], edge[i + 1] - edge[i])) for i in range(m)], radius)
 
 
-def _viable(at: list[Column], radius: int) -> Column:
+def _viable(at: list[Column], radius: int | Column) -> Column:
     """Whether from some start all chains of the ring of differences stay within their share of the radius."""
     m, some = len(at), F.lit(False)
     for i in range(m):
         every, total = F.lit(True), F.lit(0)
         for length in range(1, m):
             total = total + at[(i + length - 1) % m]
-            every = every & (total <= length * radius // m)
+            every = every & (total * m <= F.lit(length) * radius)
         some = some | every
     return some
 
@@ -197,60 +200,108 @@ def _common(plain: DataFrame, width: int) -> list[int]:
     return [r[0] for r in counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()]
 
 
+#: Words of 64 bits in a set's fingerprint, the segments of its ring.
+PARITY_WORDS = 8
+
+
+def _parities(found: DataFrame, width: int) -> DataFrame:
+    """fingerprint and p0, p1, ...: PARITY_WORDS words of a row's _text in which each of its distinct shingles flips one bit, chosen by its hash.
+
+    Two sets' fingerprints differ in at most as many bits as there are shingles that only one of them has.
+    """
+    told = found.withColumn("_row", F.monotonically_increasing_id())
+    each = told.select("fingerprint", "_row", F.explode(_distinct_shingles(F.col("_text"), width)).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 61), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 55) & 63 as int))")
+    flips = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITY_WORDS)]
+    return each.groupBy("fingerprint", "_row").agg(*flips).drop("_row").dropDuplicates(["fingerprint"])
+
+
+def _within_reach() -> Column:
+    """Whether fingerprints p0.. and q0.. of sets of n and m shingles may be those of similar sets: chains of the ring first, then all bits.
+
+    Sets of n and m that share at least SHARE of what either has differ in so many shingles at most: no similar pair fails.
+    """
+    at = [F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(PARITY_WORDS)]
+    both = F.col("n") + F.col("m")
+    radius = both - 2 * F.ceil(SHARE[0] * both / sum(SHARE)).cast("int")
+    return _viable(at, radius) & (sum(at[1:], at[0]) <= radius)
+
+
 def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """key and component_id, the smallest key of its group, for every row: the groups that texts of a Jaccard similarity of SHARE or more link.
 
-    Compared are the sets of shingles, exactly up to equal 64-bit hashes; no fingerprint distance stands for the similarity, as
-    none bounds it. Candidates share enough shingles of their prefixes (see _prefix), which no similar pair fails to do, and each is then
-    held against the whole sets. Equal sets are folded first. As in `roots`, a shingle's texts meet its pivot, and then only texts of different
-    components meet. Texts without words form one group.
+    Compared are the sets of shingles, exactly up to equal 64-bit hashes. Candidates share enough shingles of their prefixes (see _prefix), which
+    no similar pair fails to do. As in `roots`, a shingle's texts meet its pivot first, and then only texts of different components meet: of
+    these, inside the join, pigeonring chains over 512-bit fingerprints whose Hamming distance bounds the sets' difference prune
+    all but near ones, and what is left is held against the whole sets. A vote's sign bits (SimHash proper) bound nothing at a
+    similarity of 0.8, so a bit is a parity here. Equal sets are folded first. Texts without words form one group.
     """
     plain = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_th"))
     shingled = plain.select("_key", "_th", _distinct_shingles(F.col("_text"), width).alias("_set"))
     cut = _prefix(F.col("_set"), _common(plain, width))
-    each = stored(shingled.select(F.col("_key").alias(key), "_th", F.xxhash64("_set").alias("fingerprint"), F.size("_set").alias("n"), cut.alias("_cut")), "sets")
+    whole = stored(shingled.select(F.col("_key").alias(key), "_th", F.xxhash64("_set").alias("fingerprint"), F.size("_set").alias("n"), cut.alias("_cut")), "sets")
     whose = F.min(F.struct(F.col(key).alias("_key"), "_th")).alias("_whose")
-    distinct = stored(each.groupBy("fingerprint").agg(F.min(key).alias("_first"), whose, F.first("n").alias("n"), F.first("_cut").alias("_cut")), "distinct")
-    spread = distinct.select(F.col("fingerprint").alias("a"), "n", F.explode("_cut").alias("h"))
+    cuts = stored(whole.groupBy("fingerprint").agg(F.min(key).alias("_first"), whose, F.first("n").alias("n"), F.first("_cut").alias("_cut")), "cuts")
+    each, distinct = stored(whole.select(key, "fingerprint"), "each"), stored(cuts.drop("_cut"), "distinct")
+    discard(whole)
+    spread = cuts.select(F.col("fingerprint").alias("a"), "n", F.explode("_cut").alias("h"))
     pivots = lambda df: df.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").select("h", "b")
-    met = stored(spread.join(stored(pivots(spread), "pivots").select("h"), "h"), "met")
+    several = stored(pivots(spread), "pivots")
+    met = stored(spread.join(several.select("h"), "h"), "met")
+    discard(cuts, several)
     release(documents.sparkSession)
-    enough = met.groupBy("a").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _least(_at_least(F.col("n")))).select("a")
-    shared = stored(met.join(enough, "a", "left_semi"), "shared")
+
+    def enough(rows: DataFrame) -> DataFrame:
+        """The rows (a, n, ...) of those a that have as many of them as a similar set would share."""
+        kept = rows.groupBy("a").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _least(_at_least(F.col("n")))).select("a")
+        return rows.join(kept, "a", "left_semi")
+
+    shared = stored(enough(met), "shared")
+    discard(met)
     release(documents.sparkSession)
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """fingerprint and _text of the nodes, once or more often."""
+        wanted = distinct.join(nodes, "fingerprint", "left_semi").select("fingerprint", "_whose._key", "_whose._th")
+        return plain.withColumnsRenamed({"_key": "_k", "_th": "_t"}).join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_th"))).select("fingerprint", "_text")
+
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose whole sets are similar."""
         pairs = stored(pairs, "pairs")
         nodes = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
-        wanted = distinct.join(nodes, "fingerprint", "left_semi").select("fingerprint", "_whose._key", "_whose._th")
-        found = plain.withColumnsRenamed({"_key": "_k", "_th": "_t"}).join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_th")))
-        sets = stored(found.dropDuplicates(["fingerprint"]).select("fingerprint", _distinct_shingles(F.col("_text"), width).alias("s")), "candidates")
+        sets = stored(texts_of(nodes).dropDuplicates(["fingerprint"]).select("fingerprint", _distinct_shingles(F.col("_text"), width).alias("s")), "candidates")
         release(documents.sparkSession)
         side = lambda x: sets.select(F.col("fingerprint").alias(x), F.col("s").alias("s" + x))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         in_both = F.size(F.array_intersect("sa", "sb"))
-        return stored(both.where(sum(SHARE) * in_both >= SHARE[0] * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """(a, b) of rows (a, n, b, m), one for each shared shingle, that are of like size and share enough."""
-        counted = pairs.where(_sized(F.col("n"), F.col("m"))).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("n", "m")).alias("n"))
-        return counted.where(F.col("c") >= _least(F.col("n"))).select("a", "b")
+        found = stored(both.where(sum(SHARE) * in_both >= SHARE[0] * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
+        discard(pairs, sets)
+        return found
 
     sizes = distinct.select(F.col("fingerprint").alias("b"), F.col("n").alias("m"))
     starred = shared.join(pivots(shared), "h").where("a <> b").groupBy("a", "n", "b").agg(F.count("*").alias("c"))
     starred = starred.join(sizes, "b").where(_sized(F.col("n"), F.col("m")) & (F.col("c") >= _least(F.least("n", "m"))))
     star = similar(starred.select("a", "b"))
     first = components(star).select(F.col("node").alias("a"), F.col("root").alias("la"))
-    placed = stored(shared.join(first, "a", "left").select("h", "a", "n", F.coalesce("la", "a").alias("la")), "placed")
-    major = placed.groupBy("h").agg(F.mode("la").alias("major"), F.min("la").alias("y"), F.max("la").alias("z")).where("y <> z").select("h", "major")
-    placed = stored(placed.join(major, "h").select("h", "a", "n", "la", (F.col("la") != F.col("major")).alias("minor")), "placed")
+    labelled = stored(shared.join(first, "a", "left").select("h", "a", "n", F.coalesce("la", "a").alias("la")), "labelled")
+    discard(shared)
+    major = labelled.groupBy("h").agg(F.mode("la").alias("major"), F.min("la").alias("y"), F.max("la").alias("z")).where("y <> z").select("h", "major")
+    placed = stored(labelled.join(major, "h").select("h", "a", "n", "la", (F.col("la") != F.col("major")).alias("minor")), "placed")
+    discard(labelled)
+    release(documents.sparkSession)
+    apart = stored(enough(placed), "apart")
+    discard(placed)
+    parity = stored(_parities(texts_of(apart.select(F.col("a").alias("fingerprint")).distinct()), width).withColumnRenamed("fingerprint", "a"), "parities")
     release(documents.sparkSession)
-    others = placed.select("h", F.col("a").alias("b"), F.col("n").alias("m"), F.col("la").alias("lb"), F.col("minor").alias("also"))
-    across = placed.where("minor").join(others, "h").where((F.col("la") != F.col("lb")) & (~F.col("also") | (F.col("a") < F.col("b"))))
-    rest = similar(candidates(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")))
+    marked = apart.join(parity, "a")
+    others = marked.select("h", F.col("a").alias("b"), F.col("n").alias("m"), F.col("la").alias("lb"), F.col("minor").alias("also"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY_WORDS)])
+    once = (F.col("la") != F.col("lb")) & (~F.col("also") | (F.col("a") < F.col("b")))
+    across = marked.where("minor").join(others, "h").where(once & _sized(F.col("n"), F.col("m")) & _within_reach())
+    counted = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n", "m").alias("n")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    rest = similar(counted.where(F.col("c") >= _least(F.col("n"))).select("a", "b"))
+    discard(apart, parity)
     linked = components(star.unionByName(rest))
-    return _grouped(each.select(key, "fingerprint"), distinct.select("fingerprint", "_first"), linked, key).drop("fingerprint")
+    return _grouped(each, distinct.select("fingerprint", "_first"), linked, key).drop("fingerprint")
 
 
 def first_of_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
