@@ -204,16 +204,19 @@ def _common(plain: DataFrame, width: int) -> list[int]:
 PARITY_WORDS = 8
 
 
-def _parities(found: DataFrame, width: int) -> DataFrame:
-    """fingerprint and p0, p1, ...: PARITY_WORDS words of a row's _text in which each of its distinct shingles flips one bit, chosen by its hash.
+#: Rounds of pivots before texts of different components meet: speed alone depends on it.
+PIVOT_ROUNDS = 2
 
-    Two sets' fingerprints differ in at most as many bits as there are shingles that only one of them has.
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """a and p0, p1, ...: PARITY_WORDS words in which each element of a set (fingerprint, s) flips one bit, chosen by its hash.
+
+    Two sets' parities differ in at most as many bits as there are elements that only one of them has.
     """
-    told = found.withColumn("_row", F.monotonically_increasing_id())
-    each = told.select("fingerprint", "_row", F.explode(_distinct_shingles(F.col("_text"), width)).alias("h"))
+    each = sets.select(F.col("fingerprint").alias("a"), F.explode("s").alias("h"))
     word, bit = F.shiftrightunsigned("h", 61), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 55) & 63 as int))")
     flips = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITY_WORDS)]
-    return each.groupBy("fingerprint", "_row").agg(*flips).drop("_row").dropDuplicates(["fingerprint"])
+    return each.groupBy("a").agg(*flips)
 
 
 def _within_reach() -> Column:
@@ -260,16 +263,17 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     discard(met)
     release(documents.sparkSession)
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """fingerprint and _text of the nodes, once or more often."""
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """fingerprint and s, the whole set, of the nodes."""
         wanted = distinct.join(nodes, "fingerprint", "left_semi").select("fingerprint", "_whose._key", "_whose._th")
-        return plain.withColumnsRenamed({"_key": "_k", "_th": "_t"}).join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_th"))).select("fingerprint", "_text")
+        found = plain.withColumnsRenamed({"_key": "_k", "_th": "_t"}).join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_th")))
+        return found.dropDuplicates(["fingerprint"]).select("fingerprint", _distinct_shingles(F.col("_text"), width).alias("s"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose whole sets are similar."""
+    def similar(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Those of the pairs (a, b) whose whole sets are similar; known: sets that hold those of the pairs."""
         pairs = stored(pairs, "pairs")
         nodes = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
-        sets = stored(texts_of(nodes).dropDuplicates(["fingerprint"]).select("fingerprint", _distinct_shingles(F.col("_text"), width).alias("s")), "candidates")
+        sets = stored(sets_of(nodes) if known is None else known.join(nodes, "fingerprint", "left_semi"), "candidates")
         release(documents.sparkSession)
         side = lambda x: sets.select(F.col("fingerprint").alias(x), F.col("s").alias("s" + x))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -278,30 +282,42 @@ def similar_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
         discard(pairs, sets)
         return found
 
+    def apart_in(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Of the rows (h, a, n) those of shingles that more than one component has, with the component la and whether it is another than most."""
+        labels = components(links).select(F.col("node").alias("a"), F.col("root").alias("la"))
+        labelled = stored(rows.join(labels, "a", "left").select("h", "a", "n", F.coalesce("la", "a").alias("la")), "labelled")
+        major = labelled.groupBy("h").agg(F.mode("la").alias("major"), F.min("la").alias("y"), F.max("la").alias("z")).where("y <> z").select("h", "major")
+        placed = stored(labelled.join(major, "h").select("h", "a", "n", "la", (F.col("la") != F.col("major")).alias("minor")), "placed")
+        apart = stored(enough(placed), "apart")
+        discard(labelled, placed)
+        release(documents.sparkSession)
+        return apart
+
     sizes = distinct.select(F.col("fingerprint").alias("b"), F.col("n").alias("m"))
     starred = shared.join(pivots(shared), "h").where("a <> b").groupBy("a", "n", "b").agg(F.count("*").alias("c"))
     starred = starred.join(sizes, "b").where(_sized(F.col("n"), F.col("m")) & (F.col("c") >= _least(F.least("n", "m"))))
-    star = similar(starred.select("a", "b"))
-    first = components(star).select(F.col("node").alias("a"), F.col("root").alias("la"))
-    labelled = stored(shared.join(first, "a", "left").select("h", "a", "n", F.coalesce("la", "a").alias("la")), "labelled")
+    links = similar(starred.select("a", "b"))
+    apart = apart_in(shared.select("h", "a", "n"), links)
     discard(shared)
-    major = labelled.groupBy("h").agg(F.mode("la").alias("major"), F.min("la").alias("y"), F.max("la").alias("z")).where("y <> z").select("h", "major")
-    placed = stored(labelled.join(major, "h").select("h", "a", "n", "la", (F.col("la") != F.col("major")).alias("minor")), "placed")
-    discard(labelled)
-    release(documents.sparkSession)
-    apart = stored(enough(placed), "apart")
-    discard(placed)
-    parity = stored(_parities(texts_of(apart.select(F.col("a").alias("fingerprint")).distinct()), width).withColumnRenamed("fingerprint", "a"), "parities")
+    sets = stored(sets_of(apart.select(F.col("a").alias("fingerprint")).distinct()), "sets")
+    parity = stored(_parities(sets), "parities")
     release(documents.sparkSession)
+    second = [F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY_WORDS)]
+    for turn in range(PIVOT_ROUNDS):  # another member of the largest component for each shingle
+        pivot = apart.where("not minor").groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "a", F.lit(turn)), F.col("a").alias("b"), F.col("n").alias("m"))).alias("x")).select("h", "x.b", "x.m")
+        pairs = apart.where("minor").join(pivot, "h").where(_sized(F.col("n"), F.col("m"))).select("a", "n", "b", "m").distinct()
+        near = pairs.join(parity, "a").join(parity.select(F.col("a").alias("b"), *second), "b").where(_within_reach())
+        links = links.unionByName(similar(near.select("a", "b"), sets))
+        before, apart = apart, apart_in(apart.select("h", "a", "n"), links)
+        discard(before)
     marked = apart.join(parity, "a")
-    others = marked.select("h", F.col("a").alias("b"), F.col("n").alias("m"), F.col("la").alias("lb"), F.col("minor").alias("also"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY_WORDS)])
+    others = marked.select("h", F.col("a").alias("b"), F.col("n").alias("m"), F.col("la").alias("lb"), F.col("minor").alias("also"), *second)
     once = (F.col("la") != F.col("lb")) & (~F.col("also") | (F.col("a") < F.col("b")))
     across = marked.where("minor").join(others, "h").where(once & _sized(F.col("n"), F.col("m")) & _within_reach())
     counted = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n", "m").alias("n")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    rest = similar(counted.where(F.col("c") >= _least(F.col("n"))).select("a", "b"))
-    discard(apart, parity)
-    linked = components(star.unionByName(rest))
-    return _grouped(each, distinct.select("fingerprint", "_first"), linked, key).drop("fingerprint")
+    rest = similar(counted.where(F.col("c") >= _least(F.col("n"))).select("a", "b"), sets)
+    discard(apart, parity, sets)
+    return _grouped(each, distinct.select("fingerprint", "_first"), components(links.unionByName(rest)), key).drop("fingerprint")
 
 
 def first_of_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
