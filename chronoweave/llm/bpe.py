@@ -6,13 +6,14 @@ adjacent pair is what merging its two tokens' bytes gives, which the merge tree
 pair are merged exactly. Results are remembered for each worker in a dictionary of bounded size.
 
 Defined results: a null text counts as empty, an empty text has no tokens and decodes to ''; special tokens' strings in a text
-become their ids; repeated rows and other columns are carried along, but columns named like an output are replaced.
+become their ids; very long texts and words are encoded whole; an empty table gives no rows; repeated rows and other columns are carried along, but columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from chronoweave.llm.rolling import slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that one worker remembers; the memory is emptied beyond it, so only time depends on it.
 REMEMBERED = 250_000
+#: Words of more bytes are merged with a heap.
+SHORT = 96
 
 
 def byte_letters() -> list[str]:
@@ -36,8 +39,15 @@ def byte_letters() -> list[str]:
 
 
 def vocabulary(document: str) -> dict:
-    """Tokens as bytes, merges as pairs of ids and the special tokens of a tokenizer file's text."""
+    """Tokens as bytes, merges as pairs of ids and the special tokens of a tokenizer file's text.
+
+    ValueError for a file whose words are cut or merged otherwise than here: the ids would be wrong.
+    """
     spec = json.loads(document)
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer")
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not a plain byte-level BPE tokenizer: no normalizer, one ByteLevel pre-tokenizer without a prefix space")
     of = {c: b for b, c in enumerate(byte_letters())}
     ids = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in of for c in token)}
     name = spec["model"]["vocab"]
@@ -117,9 +127,12 @@ class Codec:
         return good
 
     def merged(self, word: bytes) -> list[int]:
-        """Exact merging: the pair of lowest rank, from the left, until none is left."""
-        parts, order, token = [self.ids[word[i : i + 1]] for i in range(len(word))], self.order, self.made
-        none = len(token)
+        """Exact merging: the pair of lowest rank, from the left, until none is left; time grows as n log n with the word."""
+        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        return self._merged_short(parts) if len(parts) <= SHORT else self._merged_long(parts)
+
+    def _merged_short(self, parts: list[int]) -> list[int]:
+        order, token, none = self.order, self.made, len(self.made)
         ranks = [order.get(pair, none) for pair in zip(parts, parts[1:])]
         while ranks and (rank := min(ranks)) < none:
             i = ranks.index(rank)
@@ -131,6 +144,25 @@ class Codec:
                 ranks[i] = order.get((parts[i], parts[i + 1]), none)
         return parts
 
+    def _merged_long(self, parts: list[int]) -> list[int]:
+        """The same by a heap of (rank, place) over a linked list; entries of pairs that are no more are skipped."""
+        n, order, token = len(parts), self.order, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(order[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in order]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i] if parts[i] >= 0 else n
+            if j >= n or order.get((parts[i], parts[j])) != rank:
+                continue
+            parts[i], parts[j], after[i] = token[rank], -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (found := order.get((parts[left], parts[after[left]]))) is not None:
+                    heappush(heap, (found, left))
+        return [t for t in parts if t >= 0]
+
     def learn(self, fresh: list[str]) -> None:
         """Encode words not met before and remember them."""
         if not fresh:

@@ -7,7 +7,9 @@ the result. The potentials are trained by gradient ascent on the likelihood of l
 two passes give the expected counts. The labelled pages are made here, from templates with random words.
 
 Defined results: a null or empty page has the empty text; markup that never closes ends with the page; text outside any element counts as
-the body's; script, style, head, form controls and comments in the markup never give text; repeated rows and other columns are carried along.
+the body's; script, style, head, form controls, templates, frames and comments in the markup never give text, formulas and other inline content
+do; very long pages are read whole, in time that grows with their length only; repeated rows and other columns are carried along, but an input
+column named like the output is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAMED = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"""[>"']""")
+ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 NAME = re.compile(r"[a-z]+")
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button option".split())
+RAW = frozenset("script style textarea title template iframe select button option".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: A start tag of the key ends an open element of the value's tags.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
@@ -48,13 +51,50 @@ class Node:
             parent.children.append(self)
 
 
+class _Scanner:
+    """Where markup ends, each part of the page looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.hopeless: set[int] = set()  # places of quotes, met outside quotes, from which no end is found
+        self.unclosed: set[str] = set()
+
+    def end_of_tag(self, at: int) -> int:
+        """The place after the '>' that ends a tag whose name ends at `at`: not one in quotes, unless nothing else ends it."""
+        page, seen, here = self.page, [], at
+        while m := SPECIAL.search(page, here):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.hopeless:
+                break
+            seen.append(m.start())
+            here = page.find(m[0], m.end()) + 1
+            if not here:
+                break
+        self.hopeless.update(seen)
+        return page.find(">", at) + 1
+
+    def after(self, tag: str, at: int) -> int | None:
+        """The place after the next end tag of `tag`; none if there is none."""
+        if tag in self.unclosed:
+            return None
+        m = re.compile(rf"</{tag}\b", re.I).search(self.page, at)
+        if m is None or m.end() > self.last:
+            self.unclosed.add(tag)
+            return None
+        return self.page.find(">", m.end()) + 1
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The block elements, parents before children, and the texts with their element, in page order."""
     root = Node("body", [], None, None)
     nodes, blocks = [root], []
     stack: list[tuple[str, Node]] = []  # open elements, inline ones with the block they are in
-    at, here, links, open_p = 0, root, 0, 0
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+    opened: list[int] = []  # places of open blocks
+    at, here, links = 0, root, 0
     held: list[str] = []
+    scan, end = _Scanner(page), len(page)
 
     def flush() -> None:
         if held:
@@ -65,50 +105,73 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 blocks.append((here, text))
                 here.chars += len(text)
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def push(tag: str, node: Node) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            opened.append(len(stack))
+        stack.append((tag, node))
+
     def pop_to(depth: int) -> None:
-        nonlocal here, links, open_p
+        nonlocal here, links
         while len(stack) > depth:
             tag, node = stack.pop()
+            places[tag].pop()
             if tag == "a":
                 links -= 1
             elif tag in BLOCK:
+                opened.pop()
                 flush()
-                open_p -= tag == "p"
                 here = node.parent or root
 
-    end = len(page)
+    def say(text: str) -> None:
+        held.append(text)
+        if links:
+            here.linked += len(text)
+
     while at < end:
-        m = TAG.search(page, at)
-        start = m.start() if m else end
-        if start > at:
-            held.append(page[at:start])
-            if links:
-                here.linked += start - at
-        if not m:
+        start = page.find("<", at)
+        if start < 0 or start > scan.last:
+            say(page[at:])
             break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if start > at:
+            say(page[at:start])
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            if at < 3:
+                break
+            continue
+        m = NAMED.match(page, start + 1)
+        if m is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = page.find(">", start) + 1
+            else:
+                say("<")
+                at = start + 1
             continue
-        tag, closing = name.lower(), m[1] or m[4]
-        if closing:
-            if tag in ("html", "body"):
-                continue
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if tag not in BLOCK and stack[depth][0] in BLOCK:
-                    break
+        at = scan.end_of_tag(m.end())
+        if not at:  # nothing ends it: text
+            say(page[start:])
+            break
+        tag, rest = m[2].lower(), page[m.end() : at - 1]
+        if m[1]:
+            found = innermost((tag,))
+            if tag not in ("html", "body") and found >= 0 and (tag in BLOCK or not opened or found > opened[-1]):
+                pop_to(found)
             continue
         if tag in RAW:
-            if not (m[3] or m[6] or "").endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+            if not rest.endswith("/"):
+                close = scan.after(tag, at)
+                at = close or (end if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag == "head":
-            close = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-            at = at if close is None else close.start() if close[0][1] != "/" else close.end()
+            close = re.compile(r"</head\s*>|<body\b", re.I).search(page, at) if "head" not in scan.unclosed else None
+            if close is None:
+                scan.unclosed.add("head")
+            else:
+                at = close.start() if close[0][1] != "/" else close.end()
             continue
         if tag in ("html", "body"):
             continue
@@ -118,20 +181,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 flush()
             continue
         if tag in BLOCK:
-            if open_p:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None:
-                    pop_to(depth)
-            if tag in CLOSES:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in CLOSES[tag]:
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in SCOPE[tag]:
-                        break
+            if places.get("p"):
+                pop_to(places["p"][-1])
+            if tag in CLOSES and (found := innermost(CLOSES[tag])) > innermost(SCOPE[tag]):
+                pop_to(found)
             flush()
             names, label = [], None
-            rest = m[3] or m[6] or ""
             if "=" in rest:
                 for a in ATTRIBUTE.finditer(rest):
                     key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
@@ -141,11 +196,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                         label = int(value)
             here = Node(tag, names, here, label)
             nodes.append(here)
-            open_p += tag == "p"
-            stack.append((tag, here))
+            push(tag, here)
         else:
             links += tag == "a"
-            stack.append((tag, here))
+            push(tag, here)
     pop_to(0)
     flush()
     return nodes, blocks
