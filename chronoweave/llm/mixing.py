@@ -7,7 +7,10 @@ documents is cut into about sqrt(n) blocks by hash; an epoch visits the blocks i
 which ones fit; inside the block where the budget ends, documents follow by hash while they fit. So only block sums
 are ordered, never a source's rows, and what is broadcast holds at most sqrt(sources x documents) rows.
 
-Defined results: a null source is a source; a null text has no tokens; a source without tokens has weight 0 and its documents stay
+Limits: ValueError for more than MOST_SOURCES distinct sources, whose totals and plan the driver holds, and for targets that no exponent
+meets. Tables of blocks are broadcast up to BROADCAST_ROWS rows; larger ones are joined.
+
+Defined results: a null source is a source; very long texts count whole; a null text has no tokens; a source without tokens has weight 0 and its documents stay
 once; documents that agree in key and text share their fate; an empty table gives no rows; other columns are carried along, but those named
 epoch, block or draw are replaced.
 """
@@ -15,6 +18,7 @@ epoch, block or draw are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import stored, without, words
 
-MOST_SOURCES = 100_000
+MOST_SOURCES, BROADCAST_ROWS = 100_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -61,22 +65,40 @@ def repetition(shares: list[float], chosen: list[float], budget_share: float | N
 
 
 def exponent_for(shares: list[float], *, target_entropy: float | None = None, max_repetition: float | None = None, budget_share: float | None = None) -> float:
-    """The smallest exponent in [0, 1] that respects the limit, or that whose weights have the target entropy; by bisection."""
+    """The exponent whose weights have the target entropy, else the smallest one of at most 1 that respects the limit; by bisection.
+
+    Weights grow more even as the exponent falls: 0 makes them equal, above 1 they are sharper than the shares. ValueError if no
+    exponent meets the target, or none the limit, or the one of the target not the limit.
+    """
+    some = [s for s in shares if s]
     if target_entropy is None and max_repetition is None:
         return 1.0
-
-    def flat_enough(x: float) -> bool:
-        chosen = weights(shares, x)
-        if target_entropy is not None and entropy(chosen) > target_entropy:
-            return False
-        return max_repetition is None or repetition(shares, chosen, budget_share) <= max_repetition * (1 + 1e-12)
-
-    if flat_enough(0.0):
+    if not some:
         return 0.0
-    low, high = 0.0, 1.0
-    for _ in range(60):
+    within = lambda x: max_repetition is None or repetition(shares, weights(shares, x), budget_share) <= max_repetition * (1 + 1e-9)
+    if target_entropy is None:
+        if not within(1.0):
+            raise ValueError(f"no weights repeat every source {max_repetition} times at most: the budget is too large")
+        return 0.0 if within(0.0) else _bisected(within, 0.0, 1.0)
+    low_enough = lambda x: entropy(weights(shares, x)) <= target_entropy + 1e-12
+    top, ties = max(some), sum(s == max(some) for s in some)
+    if not math.log(ties) <= target_entropy <= math.log(len(some)) + 1e-9:
+        raise ValueError(f"entropies of these sources are between {math.log(ties):.6g} and {math.log(len(some)):.6g}, not {target_entropy}")
+    high = 1.0
+    steepest = 700 / max(1e-12, math.log(top / min(some)) or 1.0)  # beyond it the smallest weights vanish in floating point
+    while not low_enough(high) and high < steepest:
+        high *= 2
+    found = 0.0 if low_enough(0.0) else _bisected(low_enough, 0.0, high)
+    if not within(found):
+        raise ValueError(f"the weights of entropy {target_entropy} repeat a source more than {max_repetition} times")
+    return found
+
+
+def _bisected(right: Callable[[float], bool], low: float, high: float) -> float:
+    """The smallest value from low, which is not right, to high, from which on all are."""
+    for _ in range(80):
         middle = (low + high) / 2
-        low, high = (low, middle) if flat_enough(middle) else (middle, high)
+        low, high = (low, middle) if right(middle) else (middle, high)
     return high
 
 
@@ -108,6 +130,8 @@ def mix(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     plans = plan(sorted(totals, key=lambda r: (r[0] is not None, r[0])), budget=budget, target_entropy=target_entropy, max_repetition=max_repetition)
+    small = sum(p.blocks for p in plans if p.rest) <= BROADCAST_ROWS
+    held = lambda df: F.broadcast(df) if small else df
     schema = "_p string, _blocks long, _epochs long, _rest long"
     table = spark.createDataFrame([(p.source, p.blocks, p.epochs, p.rest) for p in plans], schema)
 
@@ -120,11 +144,11 @@ def mix(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source
     ordered = of_block.withColumn("_upto", F.sum("_t").over(order))
     state = F.when(F.col("_upto") <= F.col("_rest"), F.lit(1)).when(F.col("_upto") - F.col("_t") < F.col("_rest"), F.lit(2))
     blocks = stored(ordered.select("_s", "_b", state.alias("_state"), (F.col("_rest") - F.col("_upto") + F.col("_t")).alias("_room")).where("_state is not null"), "blocks")
-    last = planned(narrow, "_s").join(F.broadcast(blocks.where("_state = 2").select(F.col("_s").alias("_q"), F.col("_b").alias("_c"), "_room")), F.col("_s").eqNullSafe(F.col("_q")) & (F.col("_b") == F.col("_c")))
+    last = planned(narrow, "_s").join(held(blocks.where("_state = 2").select(F.col("_s").alias("_q"), F.col("_b").alias("_c"), "_room")), F.col("_s").eqNullSafe(F.col("_q")) & (F.col("_b") == F.col("_c")))
     by_spot = last.groupBy("_s", "_u", "_room").agg(F.sum("_t").alias("_t")).withColumn("_upto", F.sum("_t").over(W.partitionBy("_s").orderBy("_u")))
     ends = by_spot.where("_upto <= _room").groupBy("_s").agg(F.max("_u").alias("_end"))
     cut = blocks.join(ends, blocks["_s"].eqNullSafe(ends["_s"]) & (blocks["_state"] == 2), "left").select(blocks["_s"].alias("_q"), F.col("_b").alias("_c"), "_state", "_end")
-    placed = planned(documents.withColumn("_u", spot), source).join(F.broadcast(cut), F.col(source).eqNullSafe(F.col("_q")) & (F.col("_b") == F.col("_c")), "left")
+    placed = planned(documents.withColumn("_u", spot), source).join(held(cut), F.col(source).eqNullSafe(F.col("_q")) & (F.col("_b") == F.col("_c")), "left")
     fits = (F.coalesce("_state", F.lit(0)) == 1) | F.coalesce(F.col("_u") <= F.col("_end"), F.lit(False))
     copies = F.coalesce(F.col("_epochs"), F.lit(1)) + F.when(fits, F.lit(1)).otherwise(F.lit(0))
     spread = placed.withColumn("_n", copies).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))

@@ -5,9 +5,10 @@ of the labelled rows, one condition at a time by FOIL gain, and pruned on the ot
 rule is learned from the rest. Every step reads its counts from one Spark aggregation of binned statistics, so the driver
 sees histograms, never rows. The list ends as one CASE expression over the documents' statistics.
 
-Defined results: a null text has no words; an empty text fails the base rule; nulls among labels are left out; without
-rows of both labels no rule is learned and the base rule alone decides; other columns of the input are carried along
-(a clash with a statistic's name cannot occur: statistics live in the struct column named by `stats`).
+Defined results: a null text has no words; an empty text fails the base rule; very long texts are measured whole; nulls among labels are
+left out, and a key with both labels counts as the lower one; without rows of both labels no rule is learned and the base rule alone decides;
+repeated rows are judged alike; an empty table gives no rows; other columns are carried along, but input columns named like the outputs
+`stats` and `reason` are replaced by `judge` (`clean` returns the input's columns whatever their names).
 """
 
 from __future__ import annotations
@@ -249,5 +250,6 @@ def judge(documents: DataFrame, rules: list[Rule], *, text: str = "text", stats:
 
 def clean(documents: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    judged = judge(documents, rules, text=text, stats="_stats", reason="_reason")
-    return judged.where(F.col("_reason").isNull()).drop("_stats", "_reason")
+    free = [next(f"{name}{i}" for i in range(len(documents.columns) + 1) if f"{name}{i}" not in documents.columns) for name in ("_stats", "_reason")]
+    judged = judge(documents, rules, text=text, stats=free[0], reason=free[1])
+    return judged.where(F.col(free[1]).isNull()).select(documents.columns)

@@ -4,6 +4,10 @@ Every term of a text is hashed to 64 bits; each bit votes for or against by the
 sum. The votes of two bits share one 64-bit sum (32 bits each), so a text's fingerprint is one hash aggregation of 32 sums, inside
 generated code. Near fingerprints are found with permuted block tables: the bits are cut into blocks, and two fingerprints that
 differ in at most `radius` bits agree on all bits of some choice of `blocks - radius` blocks, one table for each choice.
+
+Defined results: null and empty texts have no terms and fingerprint 0; very long texts vote whole, as long as the weights of one text sum to less
+than 2^31 (some 60 million words); repeated rows are rows of their own; null keys come first; an empty table gives no rows; other columns
+are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import let, words
 
+#: Cuts (8 bytes each) up to which their table is broadcast.
+BROADCAST_CUTS = 2_000_000
 LANES = 32
 PAIR = (1 << 32) | 1
 
@@ -75,35 +81,50 @@ def pair_terms(text: Column) -> Column:
     return let(words(text), of)
 
 
-def with_next(df: DataFrame, key: str, text: str, *, rows_a_bucket: int = 4_000, most_buckets: int = 2_000) -> DataFrame:
+def with_next(df: DataFrame, key: str, text: str, *, rows_a_bucket: int = 4_000, fan_out: int = 2_000) -> DataFrame:
     """df's rows in buckets of neighbouring keys, each with the text of the row after it (after the last: the first).
 
     Adds _bucket, _rank (place in the bucket), _next, and _extra: true on the copy of the next bucket's first row that each bucket ends
-    with. One exchange; no task holds more than a bucket. Nulls come first among keys; equal keys are ordered by text.
+    with. One exchange of the rows; no task holds more than a bucket of about `rows_a_bucket` rows, and equal keys, however many rows there are:
+    beyond fan_out buckets each of them is cut again, by a table of cuts that is joined. Nulls come first among keys; equal keys are
+    ordered by text.
     """
     at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     n, lowest = df.agg(F.count("*"), F.min(at)).first()
-    buckets = max(1, min(most_buckets, -(-n // rows_a_bucket)))
-    cuts = df.agg(F.percentile_approx(at, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else []
+    wanted = max(1, -(-n // rows_a_bucket))
+    first = min(wanted, fan_out)
+    cuts = df.agg(F.percentile_approx(at, [i / first for i in range(1, first)], 20 * first)).first()[0] if first > 1 else []
     cuts = sorted({c for c in cuts or [] if c != lowest})
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)) if cuts else F.lit(0)
-    last = len(cuts)
-    opens = F.when(at == lowest, F.lit(last)).when(at.isin(cuts), F.col("_own") - 1) if cuts else F.when(at == lowest, F.lit(last))
-    placed = df.withColumn("_own", below)
-    copies = F.array_compact(F.array(F.struct(F.col("_own").alias("b"), F.lit(False).alias("x")), F.when(opens.isNotNull(), F.struct(opens.alias("b"), F.lit(True).alias("x")))))
-    spread = placed.withColumn("_c", F.explode(copies)).select(*df.columns, F.col("_c.b").alias("_bucket"), F.col("_c.x").alias("_extra"))
+    placed = df.withColumns({"_at": at, "_c": F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)) if cuts else F.lit(0)})
+    opens_coarse = F.col("_at").isin(cuts) if cuts else F.lit(False)
+    if wanted > first:
+        inner = -(-wanted // first)
+        fine = placed.groupBy("_c").agg(F.min("_at").alias("_low"), F.percentile_approx("_at", [i / inner for i in range(1, inner)], 20 * inner).alias("_cuts"))
+        fine = fine.select("_c", F.array_sort(F.array_distinct(F.filter("_cuts", lambda c: c > F.col("_low")))).alias("_cuts"))
+        fine = fine.withColumn("_before", F.lag(F.size("_cuts")).over(W.orderBy("_c")))  # fan_out rows at most
+        placed = placed.join(F.broadcast(fine) if wanted <= BROADCAST_CUTS else fine, "_c")
+        own = F.size(F.filter("_cuts", lambda c: c <= F.col("_at")))
+        ends = {"_own": F.struct(F.col("_c").alias("c"), own.alias("f")), "_previous": F.when(F.array_contains("_cuts", F.col("_at")), F.struct(F.col("_c").alias("c"), (own - 1).alias("f"))).when(opens_coarse, F.struct((F.col("_c") - 1).alias("c"), F.col("_before").alias("f")))}
+        last = fine.orderBy(F.desc("_c")).select("_c", F.size("_cuts")).first()
+    else:
+        ends = {"_own": F.struct(F.col("_c").alias("c"), F.lit(0).alias("f")), "_previous": F.when(opens_coarse, F.struct((F.col("_c") - 1).alias("c"), F.lit(0).alias("f")))}
+        last = (len(cuts), 0)
+    wraps = F.when(F.col("_at") == F.lit(lowest), F.struct(F.lit(last[0] if last else 0).alias("c"), F.lit(last[1] if last else 0).alias("f"))).otherwise(F.col("_previous"))
+    placed = placed.withColumns(ends).withColumn("_previous", wraps)
+    copies = F.array_compact(F.array(F.struct(F.col("_own").alias("b"), F.lit(False).alias("x")), F.when(F.col("_previous").isNotNull(), F.struct(F.col("_previous").alias("b"), F.lit(True).alias("x")))))
+    spread = placed.withColumn("_copy", F.explode(copies)).select(*df.columns, F.col("_copy.b").alias("_bucket"), F.col("_copy.x").alias("_extra"))
     order = W.partitionBy("_bucket").orderBy("_extra", F.asc_nulls_first(key), F.asc_nulls_first(text))
     return spread.withColumns({"_rank": F.row_number().over(order), "_next": F.lead(text, 1).over(order)})
 
 
-def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The fingerprint of each document and of its edited text, whose last quarter comes from the next document.
 
     Returns key, n_chars, edited_sha256, fingerprint and edited_fingerprint (long), near_edited and near_next. A null or empty text has
-    fingerprint 0; among equal keys the order of the texts decides which is next; the one row of a table is its own next.
+    fingerprint 0; among equal keys the order of the texts decides which is next; the one row of a table is its own next. `how` is that of with_next.
     """
     plain = documents.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    joined = with_next(plain, "_key", "_text").withColumn("_n", F.length("_text").cast("long"))
+    joined = with_next(plain, "_key", "_text", **how).withColumn("_n", F.length("_text").cast("long"))
     cut = F.floor(F.col("_n") / 4).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), F.col("_n").cast("int") - cut), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), cut))
     both = joined.withColumn("_edited", edited).withColumn("_sha", F.sha2("_edited", 256))

@@ -12,7 +12,7 @@ gathered by document is bounded by that document.
 Edges are compared by 64-bit hashes of their words' 64-bit hashes.
 
 Defined results: a null text has no words; rows with a null key are kept whole and hide nothing; rows that share a key count as one
-document, and places that go in one of them go in all; other columns are carried along, but those named like an output are replaced; an empty table gives no rows.
+document, and places that go in one of them go in all; very long texts are read whole; other columns are carried along, but those named like an output are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,7 +138,9 @@ def repeated_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "te
 
 
 def dedup(documents: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "kept", **how) -> DataFrame:
-    """documents with `out` (the words that stay, joined by one space), n_words, n_removed and the spans that went."""
+    """documents with `out` (the words that stay, joined by one space), n_words, n_removed and the spans that went; the key is a whole number."""
+    if not isinstance(documents.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be a column of whole numbers: the smaller one keeps a passage")
     documents = without(documents, out, "n_words", "n_removed", "spans")
     spans = repeated_spans(documents, key=key, text=text, **how)
     listed = spans.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "source"))).alias("spans"))

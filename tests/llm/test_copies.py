@@ -111,6 +111,9 @@ def test_neighbours_over_many_buckets(documents, rows):
     got = sorted((r["k"], r["t"], r["_next"]) for r in simhash.with_next(plain, "k", "t", rows_a_bucket=7).where(~F.col("_extra")).collect())
     ordered = sorted((r[0], r[1] or "") for r in rows)
     assert got == sorted((k, t, ordered[(i + 1) % len(ordered)][1]) for i, (k, t) in enumerate(ordered))
+    deep = simhash.with_next(plain, "k", "t", rows_a_bucket=3, fan_out=5)
+    assert sorted((r["k"], r["t"], r["_next"]) for r in deep.where(~F.col("_extra")).collect()) == got
+    assert deep.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 9 and deep.select("_bucket").distinct().count() > 15
 
 
 def test_empty_tables(none):
@@ -211,3 +214,10 @@ def test_similar_groups_are_those_of_brute_force_around_the_threshold(spark):
         assert dict(map(tuple, simhash_dedup.similar_groups(df).collect())) == linked(list(range(len(texts))), near)
     finally:
         simhash_dedup._common = sure
+
+
+def test_keys_of_passages_are_numbers(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="whole numbers"):
+        substring_dedup.dedup(spark.createDataFrame([("a", "text")], "doc_id string, text string"))

@@ -210,3 +210,78 @@ def test_every_query_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
     assert set(entry.oracle_sql()) <= names
+
+
+def test_targets_are_met_or_refused():
+    shares = [0.7, 0.2, 0.1]
+    for target in (0.3, 0.8, 1.05):
+        assert mixing.entropy(mixing.weights(shares, mixing.exponent_for(shares, target_entropy=target))) == pytest.approx(target, abs=1e-6)
+    for wrong in ({"target_entropy": 1.2}, {"target_entropy": -0.1}, {"max_repetition": 2.0, "budget_share": 10.0}, {"target_entropy": 1.0, "max_repetition": 1.01}):
+        with pytest.raises(ValueError):
+            mixing.exponent_for(shares, **wrong)
+
+
+def test_a_hundred_thousand_cells_are_no_literals(spark):
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    placed = sharding.shard(df, 8, cell_bytes=1, least_cells=100_000)
+    check_shards(placed.collect(), range(3_000), 8)
+    assert len(placed._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_long_words_merge_in_a_moment(library):
+    import time
+
+    codec = bpe.Codec(bpe.vocabulary(vocabulary_text()))
+    rng = random.Random(2)
+    for _ in range(200):
+        word = "".join(rng.choice("abctheringé日") for _ in range(rng.randint(90, 300))).encode()
+        parts = [codec.ids[word[i : i + 1]] for i in range(len(word))]
+        assert codec._merged_short(list(parts)) == codec._merged_long(list(parts))
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    start = time.perf_counter()
+    assert codec.encode([word])[0] == library.encode(word, add_special_tokens=False).ids
+    assert time.perf_counter() - start < 60
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    spec = json.loads(vocabulary_text())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.vocabulary(json.dumps(spec | change))
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, '<a "' * 250_000, '<a ">" ' * 150_000 + "'", "<b>" * 300_000 + "</i>" * 200_000, "<ul><li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<iframe " * 100_000 + ">" + "<template>" * 100_000, "<p " + "a" * 500_000 + " b=>"])
+def test_odd_markup_is_read_in_a_moment(page):
+    import time
+
+    start = time.perf_counter()
+    html_extract.parse(page)
+    assert time.perf_counter() - start < 15
+
+
+def test_formulas_and_held_objects_stay(model):
+    page = "<article><p>Let <math><mi>x</mi></math> be <object>held</object> &amp; 3 < 4 in all of the words.</p></article>"
+    assert model.text(page) == "Let x be held & 3 < 4 in all of the words."
+
+
+def test_query_of_shards_and_tokens(spark, tmp_path, documents, rows, library):
+    from zlib import crc32
+
+    from chronoweave.llm import queries
+    from hashlib import sha256
+
+    documents.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.asDict() for r in queries.QUERIES["op5_sharding"](spark, str(tmp_path)).collect()]
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((r[0], len((r[1] or "").encode()) + 1, crc32((r[1] or "").encode())) for r in rows)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)} and {r["shard"] for r in got} <= set(range(8))
+    want = []
+    for r in rows:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256((r[1] or "").encode()).hexdigest()))
+    assert sorted(tuple(r) for r in queries.QUERIES["op6_bpe"](spark, str(tmp_path)).collect()) == sorted(want)
+    mixed = queries.QUERIES["op4_mixing"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in mixed} == {r[0] for r in rows}
+    prints = [r.asDict() for r in queries.QUERIES["op10_simhash_dedup"](spark, str(tmp_path)).collect()]
+    assert len(prints) == len(rows) and all(len(r["fingerprint"]) == 16 and r["component_id"] <= r["doc_id"] for r in prints)

@@ -121,3 +121,47 @@ def test_quality_without_labels(marked, none):
     model = quality_classifier.train(docs, labels.where("false"))
     assert {r["score"] for r in quality_classifier.score(docs, model).collect()} == {0.0}
     assert quality_classifier.score(none, model).count() == 0
+
+
+def test_lengths_are_those_of_zstandard(marked):
+    """A window's difference against direct calls with the model's dictionaries; more of a toxic word is nearer to toxic text."""
+    import zstandard
+
+    rows, _, _ = marked
+    model = toxicity.learn([(r[1], r[3], r[0] % 3) for r in rows], 0.3)
+    how = zstandard.ZstdCompressionParameters(**toxicity.LEVELS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    sizes = {}
+    for side in (model.toxic, model.ordinary):
+        held = zstandard.ZstdCompressionDict(toxicity.spread(side + model.common), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes[side] = zstandard.ZstdCompressor(dict_data=held, compression_params=how)
+    for word in (b"zlomgrit", b"kravvotz", b"the", b"river", b"zlomgri", b"zlomgritting"):
+        window = model.before + toxicity.spread(word) + model.after
+        near, far = (len(sizes[s].compress(window)) for s in (model.toxic, model.ordinary))
+        assert abs(model.difference(word) - (far - near)) <= 1
+    assert model.difference(b"zlomgrit") >= model.thresholds[0] > model.difference(b"the")
+    assert model.difference(b"zlomgritting") > 0
+
+
+def test_queries_hold_rows_out_and_cut_scores(spark, tmp_path, marked):
+    from zlib import crc32
+
+    from chronoweave.llm import queries
+
+    rows, docs, labels = marked
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, n, rest, cut in (("op2_toxicity", 5, 0, 0.5), ("op3_quality_classifier", 4, 2, 0.7)):
+        got = [r.asDict() for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(rows)
+        assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % n == rest) and r["predicted"] == int(r["score"] >= cut) and 0 <= r["score"] <= 1 for r in got)
+    judged = {r["doc_id"]: r for r in queries.QUERIES["op1_quality_rules"](spark, str(tmp_path)).collect()}
+    assert all(tuple(judged[r[0]])[1:7] == statistics(r[1]) for r in rows) and not any(r["kept"] and r["base_failed"] for r in judged.values())
+
+
+def test_clashing_names(spark, marked):
+    rows, docs, labels = marked
+    odd = docs.withColumns({"score": F.lit("mine"), "stats": F.lit(1), "_stats0": F.lit(2), "reason": F.lit("mine")})
+    assert set(quality_rules.clean(odd, []).columns) == set(odd.columns)
+    assert quality_rules.clean(odd, []).select("reason").first()[0] == "mine"
+    for module in (toxicity, quality_classifier):
+        assert dict(module.score(odd, module.train(docs, labels.limit(40))).dtypes)["score"] == "double"
