@@ -18,16 +18,21 @@ def snippet(text: Column, at: Column, length: Column, around: int) -> Column:
     return F.concat(F.when(first > 1, F.lit("...")).otherwise(F.lit("")), F.substring(text, first, last - first + 1), F.when(last < F.length(text), F.lit("...")).otherwise(F.lit("")))
 
 
-def keyword_hits(df: DataFrame, text: str, keywords: list[str], around: int = 150, case_sensitive: bool = False) -> DataFrame:
-    """One row for each row and keyword it holds: keyword, kw_seq, at (1-based place of the first occurrence) and snippet.
+def keyword_hits(df: DataFrame, text: str, keywords: list[str], around: int = 150, case_sensitive: bool = False, word: bool = False) -> DataFrame:
+    """One row for each row and keyword it holds: keyword, kw_seq, at (1-based place of the first occurrence) and snippet; with `word` the
+    keyword must stand alone, and its place is that of the first such occurrence.
 
     The keyword list is an array literal, exploded after one alternation test, so rows without any keyword are dropped in one pass.
     """
     pattern = "|".join(r"\Q" + k + r"\E" for k in keywords)
-    some = F.col(text).rlike(pattern if case_sensitive else f"(?iu){pattern}")
+    flags = "" if case_sensitive else "(?iu)"
+    some = F.col(text).rlike(flags + (rf"(?<!\w)(?:{pattern})(?!\w)" if word else pattern))
     table = F.array(*[F.struct(F.lit(i).alias("kw_seq"), F.lit(k).alias("keyword")) for i, k in enumerate(keywords)])
     each = df.where(some).select("*", F.explode(table).alias("_k")).select(*df.columns, "_k.kw_seq", "_k.keyword")
-    each = each.withColumn("at", found_at(F.col(text), F.col("keyword"), case_sensitive)).where("at > 0")
+    place = found_at(F.col(text), F.col("keyword"), case_sensitive)
+    if word:
+        place = F.regexp_instr(F.col(text), F.concat(F.lit(flags + r"(?<!\w)\Q"), F.col("keyword"), F.lit(r"\E(?!\w)")))
+    each = each.withColumn("at", place).where("at > 0")
     return each.withColumn("snippet", snippet(F.col(text), F.col("at"), F.length("keyword"), around))
 
 

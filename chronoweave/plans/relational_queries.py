@@ -143,7 +143,7 @@ def two_hop(t):
 @query(f"""WITH {NODES} SELECT src AS node, 0 AS hops FROM (SELECT 'r0' AS src) UNION ALL SELECT dst, 1 FROM edges WHERE src = 'r0' UNION ALL SELECT b.dst, 2 FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = 'r0'""")
 def bfs_hops(t):
     nodes, edges = _graph(t)
-    return graph.bfs(edges, nodes.where("node_id = 'r0'").select(F.col("node_id").alias("node")))
+    return graph.bfs(edges, nodes.where("node_id = 'r0'").select(F.col("node_id").alias("node"))).select("node", "hops")
 
 
 @query("""SELECT l_orderkey, o_custkey, c_nationkey, n_name, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE l_discount >= 0.09 GROUP BY ALL""")

@@ -67,7 +67,13 @@ def test_shortest_paths_and_components(spark):
     while front:
         front = {b for a, b in pairs if a in front and b not in hops}
         hops |= {b: max(hops.values()) + 1 for b in front}
-    assert dict(graph.bfs(edges, spark.createDataFrame([(0,)], "node int")).collect()) == hops
+    assert {r["node"]: r["hops"] for r in graph.bfs(edges, spark.createDataFrame([(0,)], "node int")).collect()} == hops
+    far = max(hops, key=lambda n: (hops[n], n))
+    path = graph.shortest_path(edges, 0, far)
+    assert len(path) == hops[far] + 1 and set(zip(path, path[1:])) <= pairs
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
+    assert graph.bfs(chain, spark.createDataFrame([(0,)], "node int")).agg(F.max("hops")).first()[0] == 40
+    assert graph.shortest_path(chain, 5, 0) == []
     parent = {n: n for p in pairs for n in p if p[0] != p[1]}
     for _ in range(60):
         for a, b in pairs:
@@ -135,7 +141,7 @@ def test_a_failing_model_becomes_a_row(spark):
 
 def test_episodes_by_rules(spark):
     rows = [
-        ("p", 1, "a", "2021-01-01", "diagnostic", None, None, "PD-L1 positive biopsy", "MAJOR", None, None),
+        ("p", 1, "a", "2021-01-01", "diagnostic", None, None, "malignant, PD-L1 positive biopsy", "MINOR", None, None),
         ("p", 2, "b", "2021-01-10", "treatment", None, None, "cisplatin cycle", "MINOR", None, None),
         ("p", 3, "c", "2021-02-10", "treatment", None, None, "cisplatin cycle", "MINOR", None, None),
         ("p", 4, "d", "2021-03-01", "imaging", "ct", "chest", "clear progression", "MAJOR", None, None),
@@ -145,7 +151,7 @@ def test_episodes_by_rules(spark):
     ]
     events = spark.createDataFrame(rows, TIMELINE)
     got = sorted((r["start_date"], r["kind"], r["end_date"], r["line_number"]) for r in episodes.derive(events).collect())
-    assert got == [("2021-01-01", "diagnosis", "2021-01-01", None), ("2021-01-10", "systemic_line", "2021-03-01", 1), ("2021-03-01", "progression", "2021-03-01", None), ("2021-03-10", "systemic_line", None, 2), ("2021-04-01", "adverse_effect", "2021-04-01", None), ("2021-05-01", "surgery", "2021-05-01", None)]
+    assert got == [("2021-01-01", "diagnosis", "2021-01-01", None), ("2021-01-10", "systemic_tx_line", "2021-03-01", 1), ("2021-03-01", "progression", "2021-03-01", None), ("2021-03-10", "systemic_tx_line", None, 2), ("2021-04-01", "major_ae", "2021-04-01", None), ("2021-05-01", "surgery_course", "2021-05-01", None)]
     bare = [r["kind"] for r in episodes.derive(events, whole_words=False).collect()]
     assert bare.count("progression") == 2
     found = episodes.with_ids(episodes.derive(events))
@@ -155,12 +161,12 @@ def test_episodes_by_rules(spark):
 
 def test_episode_population_bounds_and_problems(spark):
     events = spark.createDataFrame([("p", f"e{i}", f"2021-01-{i:02d}", i) for i in range(1, 8)], "patient_id string, event_id string, date string, seq int")
-    rows = [("p", "treatment", "2021-01-02", "2021-01-04", "e2", [], None), ("p", "imaging", "2021-01-06", None, "e6", None, None), ("p", "odd", "soon", "2020-01-01", "", ["e1", "zz"], None)]
+    rows = [("p", "surveillance", "2021-01-02", "2021-01-04", "e2", [], None), ("p", "progression", "2021-01-06", None, "e6", None, None), ("p", "odd", "soon", "2020-01-01", "", ["e1", "zz"], None)]
     e = spark.createDataFrame(rows, "patient_id string, kind string, start_date string, end_date string, anchor_event_id string, event_ids array<string>, line_number int")
     got = {r["kind"]: r["event_ids"] for r in episodes.populated(e, events).collect()}
-    assert got == {"treatment": ["e2", "e3", "e4"], "imaging": ["e6", "e7"], "odd": ["e1", "zz"]}
+    assert got == {"surveillance": ["e2", "e3", "e4"], "progression": ["e6", "e7"], "odd": ["e1", "zz"]}
     bounds = {r["kind"]: (r["start_date"], r["end_date"]) for r in episodes.corrected_dates(episodes.populated(e, events), events).collect()}
-    assert bounds["imaging"] == ("2021-01-06", "2021-01-07")
+    assert bounds["progression"] == ("2021-01-06", "2021-01-07")
     wrong = {r["problem"] for r in episodes.problems(e.where("kind = 'odd'"), events).collect()}
     assert wrong == {"unknown kind", "bad start", "ends before it starts", "no anchor", "unknown event"}
     two = spark.createDataFrame([("p", "initial_diagnostics", "2021-01-01", "2021-01-02", "a", ["a"], None), ("p", "initial_diagnostics", "2021-01-03", "2021-01-05", "b", ["b"], None), ("p", "surgery", "2021-02-01", "2021-02-01", "c", ["c"], None)], e.schema)
@@ -171,13 +177,24 @@ def test_laboratory_and_category_rules(spark):
     one = lambda c, *v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "t string").select(c(F.col("t")).alias("x")).collect()]
     assert [(r["value"], r["direction"]) for r in one(clinical.lab_value, "5.4 ↑", "↓3", "7", "neg", "nan")] == [(5.4, "high"), (3.0, "low"), (7.0, "normal"), (None, "normal"), (None, "normal")]
     assert one(clinical.modality, "PET/CT whole body", "CT chest", "resection", "MRI brain", "X-ray") == ["PET-CT", "CT", None, "MRI", "XR"]
-    assert one(clinical.diagnosis_class, "NSCLC stage IV", "SCLC", "thymoma", "other") == ["NSCLC", "SCLC", "Thymoma", "Other"]
-    assert [(r["category"], r["pack_years"]) for r in one(clinical.smoking, "never, 10 pack-years", "30 pack years", "quit 2001", "")] == [("Never", None), ("Former", 30.0), ("Former", None), ("Unknown", None)]
-    assert one(clinical.pdl1, "<1%", "TPS 60%", "5 %", "high", "?") == ["negative", "high", "low", "high", "unknown"]
-    assert one(clinical.ecog, "ECOG 1 - 2", "2", "n/a") == ["1-2", "2", "Unknown"]
+    cancers = {"NSCLC stage IV": "NSCLC", "Non-small cell": "NSCLC", "SCLC": "SCLC", "small cell carcinoma": "SCLC", "squamous cell of lung": "NSCLC", "pulmonary mass": "NSCLC", "thymic carcinoma": "Thymoma/Thymic", "breast": "Other Primary", "mesothelioma, small cell": "Mesothelioma", "melanoma": "Other", "": "Unknown", None: "Unknown"}
+    assert one(clinical.diagnosis_class, *cancers) == list(cancers.values())
+    cells = {"Adeno": "Adenocarcinoma", "squamous": "Squamous Cell", "LARGE CELL": "Large Cell", "small cell": "Small Cell", "sarcomatoid": "Sarcomatoid", "carcinoid": "Carcinoid", "mesothelioma": "Mesothelioma", "odd": "Other/NOS", "": "Unknown/NOS", None: "Unknown/NOS"}
+    assert one(clinical.histology_class, *cells) == list(cells.values())
+    smokers = {"never, 10 pack-years": ("Never", None), "30 pack years": ("Former", 30.0), "quit 2001": ("Former", None), "current, 12.5 ppy": ("Current", 12.5), "Non-smoker": ("Never", None), "not documented": ("Unknown", None), "": ("Unknown", None), None: ("Unknown", None)}
+    assert [(r["category"], r["pack_years"]) for r in one(clinical.smoking, *smokers)] == list(smokers.values())
+    shares = {"<1%": "negative", "TPS 60%": "high", "5 %": "low", "0%": "negative", "not detected": "negative", "positive": "low", "high": "unknown", "not tested": "unknown", "?": "unknown", None: "unknown"}
+    assert one(clinical.pdl1, *shares) == list(shares.values())
+    results = {"exon 19 deletion": "positive", "not tested": "not_tested", "Not detected": "negative", "Wild-type": "negative", "pending": "negative", "": "not_tested", None: "not_tested"}
+    assert one(clinical.mutation_status, *results) == list(results.values())
+    grades = {"1-2": "1-2", "2": "2", "ECOG 1": "1", "not recorded": "Unknown", "n/a": "Unknown", "": "Unknown", None: "Unknown"}
+    assert one(clinical.ecog, *grades) == list(grades.values())
+    images = {"progressed": "progression", "partial response": "response", "unchanged": "surveillance", "initial scan": "baseline", "CT": "unknown", None: "unknown"}
+    assert one(clinical.imaging_class, *images) == list(images.values())
+    assert one(clinical.regimen, "Carboplatin + pemetrexed", "concurrent radiation", "rest", None) == [["pemetrexed", "platinum_doublet"], ["chemoradiation"], [], []]
     assert one(clinical.yes_no, "yes, bone", "No", None) == ["Yes", "No", "Unknown"]
     drugs = {"chemotherapy": ["cisplatin"], "radiation": ["radi"], "immunotherapy": ["nivolumab"]}
-    assert one(lambda c: clinical.regimen(c, drugs), "Cisplatin + radiation", "nivolumab", "rest") == [["chemoradiation", "chemotherapy", "radiation"], ["immunotherapy"], []]
+    assert one(lambda c: clinical.regimen(c, drugs), "Cisplatin + radiation", "nivolumab", "rest") == [["chemotherapy", "radiation"], ["immunotherapy"], []]
     assert one(clinical.anatomic_sites, "Chest and abdomen", "toe") == ["chest/abdomen", "unspecified"]
     assert one(text.us_date, "on 3/4/2021 and", "none") == ["2021-03-04", None]
     assert one(lambda c: text.sentence_with(c, "two"), "One. It has Two. Three", "none here") == ["It has Two", "none here"]

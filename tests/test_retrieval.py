@@ -49,7 +49,8 @@ def test_code_status_conditions_and_drugs(events):
 
 def test_latest_documents(spark, events):
     sites = spark.createDataFrame([("p", "c1", "THORACIC ONCOLOGY")], "patient_id string, care_site_id string, care_site_name string")
-    assert retrieval.latest_note_of_visits(events, sites, ["oncology", "tumor board"]).first()["node_id"] == "n1"
+    note = retrieval.latest_note_of_visits(events, sites, ["oncology", "tumor board"]).first()
+    assert (note["node_id"], note["n"]) == ("n1", 1)
     assert retrieval.chest_ct_report(events).first()["node_id"] == "n2"
 
 
@@ -59,6 +60,8 @@ def test_imaging_dates_and_recent_studies(events):
     recent = retrieval.recent_imaging(events, "2021-03-25", 10).collect()
     assert sorted(r["modality"] for r in recent) == ["CT", "MRI"]
     assert {r["operation"] for r in retrieval.surgical_history(events).collect()} == {"lobectomy"}
+    assert retrieval.tnm(events).count() == 0
+    assert [r["kind"] for r in retrieval.latest_by_kind(events, "metastasis").orderBy("kind").collect()] == ["note", "radiology"]
 
 
 def test_context_guidance_and_chunks(events):
@@ -100,3 +103,18 @@ def test_sampler_follows_the_conditional_shares(spark):
     assert share["d"] == pytest.approx(0.8, abs=0.03) and share["g"] == pytest.approx(0.6, abs=0.03)
     assert got.where("g = 'positive' and h = 'positive'").count() == 0
     assert sorted(map(str, got.collect())) == sorted(map(str, cohort.sampled(spark, tables, cascade, 4000, seed=3, exclusive=("g", "h")).repartition(3).collect()))
+
+
+def test_whole_texts_and_whole_words(spark):
+    rows = [event(1, "note", "2021-01-01", "n", "x" * 50_000), event(2, "note", "2021-01-02", "n", "METASTASIS, later MET amplified. driver mutation"), event(3, "note", "2021-01-03", "n", "T2 N1 M0, T4 before"), event(4, "measurement", "2021-01-03", "CEA", "5")]
+    events = spark.createDataFrame(rows, EVENT)
+    blocks = {r["date"]: r["block"] for r in retrieval.serialized(events).collect()}
+    assert len(blocks["2021-01-01"]) > 50_000 and "--- Labs 2021-01-03 10:00 ---\n[E4] CEA: 5" in blocks["2021-01-03"]
+    assert max(r["size"] for r in retrieval.serialized(events, max_chars=100).collect()) < 300
+    genes = {r["gene"]: r["snippet"] for r in retrieval.driver_genes(events).collect()}
+    assert set(genes) == {"MET", "_driver_mutation_keyword"}
+    hit = retrieval.mentions(events, ["MET"], 5, word=True, case_sensitive=True).first()
+    assert hit["at"] == 19 and hit["snippet"] == "...ater MET ampl..."
+    assert {r["component"]: r["stated"] for r in retrieval.tnm(events).collect()} == {"T": "T2", "N": "N1", "M": "M0"}
+    told, refs = retrieval.listing(events)
+    assert "[E3] n3: T2 N1" in told.first()["listing"] and refs.count() == 4
