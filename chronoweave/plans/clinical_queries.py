@@ -200,7 +200,7 @@ def rule_episodes(t):
 
 
 @query("""SELECT l_orderkey AS c, arg_max('part ' || l_partkey, (length('part ' || l_partkey), -l_linenumber, -l_partkey)) AS description, arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey) FILTER (WHERE l_returnflag <> 'N') AS modality, min(strftime(l_shipdate, '%Y-%m-%d')) AS date,
-CASE WHEN max(l_quantity) > 45 THEN 'MAJOR' ELSE 'MINOR' END AS priority, count(*) AS n_merged FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1) GROUP BY 1""")
+CASE WHEN max(l_quantity) > 45 THEN 'MAJOR' ELSE 'MINOR' END AS priority, count(*) AS n_merged FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_shipdate, l_quantity) = 1) GROUP BY 1""")
 def merged_components(t):
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("seq")).agg(F.min_by(F.struct("l_partkey", "l_returnflag", "l_shipdate", "l_quantity"), F.struct("l_partkey", "l_shipdate", "l_quantity")).alias("x"))
     events = lines.select("c", "seq", F.concat(F.lit("part "), F.col("x.l_partkey")).alias("description"), F.when(F.col("x.l_returnflag") != "N", F.col("x.l_returnflag")).alias("modality"), F.lit(None).cast("string").alias("site"), F.date_format("x.l_shipdate", "yyyy-MM-dd").alias("date"), F.when(F.col("x.l_quantity") > 45, "MAJOR").otherwise("MINOR").alias("priority"), F.array(F.col("x.l_partkey").cast("string")).alias("refs"))
