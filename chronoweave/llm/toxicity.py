@@ -143,29 +143,26 @@ class _Marks:
     """
 
     def __init__(self, taught: list[tuple[list[bytes], int]], strictness: float):
-        self.of: dict[bytes, set[bytes]] = {}
-        count = (Counter(), Counter())
-        for w, y in taught:
-            count[y].update(set().union(*map(self._held, set(w))))
+        fragments = lambda w: set().union(*map(_fragments, set(w)))
+        toxic = Counter(x for w, y in taught if y for x in fragments(w))
+        ordinary = Counter(x for w, y in taught if not y for x in fragments(w) if x in toxic)
         n = [sum(y == k for _, y in taught) for k in (0, 1)]
-        least = strictness * math.log(len(count[1]) + 10)
+        least = strictness * math.log(len(toxic) + 10)
         term = lambda k, e: k * math.log(k / e) if k else 0.0
         self.found = set()
-        for fragment, a in count[1].items():
-            b = count[0][fragment]
+        self.known: dict[bytes, bool] = {}
+        for fragment, a in toxic.items():
+            b = ordinary[fragment]
             if a * n[0] > 3 * b * n[1]:
                 rate = (a + b) / (n[0] + n[1])
                 ratio = 2 * (term(a, n[1] * rate) + term(b, n[0] * rate) + term(n[1] - a, n[1] * (1 - rate)) + term(n[0] - b, n[0] * (1 - rate)))
                 if ratio >= least:
                     self.found.add(fragment)
 
-    def _held(self, word: bytes) -> set[bytes]:
-        if word not in self.of:
-            self.of[word] = _fragments(word)
-        return self.of[word]
-
     def __contains__(self, word: bytes) -> bool:
-        return not self.found.isdisjoint(self._held(word))
+        if word not in self.known:
+            self.known[word] = not self.found.isdisjoint(_fragments(word))
+        return self.known[word]
 
 
 def learn(rows: list[tuple[str | None, int, int]], share: float, *, size: int = 4_096, strictness: float = 6.0) -> Model:
