@@ -267,3 +267,35 @@ def test_components_of_all_lines_are_those_of_union_find(spark, tmp_path):
         parent[max(a, b)] = min(a, b)
     got = dict(map(tuple, catalogue.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()))
     assert got == {o: find(o) for o in parent} and len(set(got.values())) > 2
+
+
+def test_candidates_pass_the_gate_and_twins_come_first(spark):
+    from chronoweave.operators import cases
+
+    texts = {"a": ("NSCLC", "Yes", "exon 19 deletion", "lobectomy then osimertinib"), "b": ("NSCLC", "Yes", "exon 20", "lobectomy then osimertinib"), "c": ("NSCLC", "suspected", "wild type", "hospice care"), "d": ("SCLC", "Yes", "exon 19 deletion", "lobectomy then osimertinib"), "e": ("NSCLC", "No", "exon 19 deletion", "lobectomy")}
+    rows = [(p, "1950-01-01", None, "never", "1", d, "adenocarcinoma", m, "No", {"EGFR": g}, ["drug"], None, "No", note) for p, (d, m, g, note) in texts.items()]
+    lines = [(p, "treatment_line", 1, "osimertinib" if p != "c" else "nivolumab", "palliative", "none", "2020-01-01") for p in texts]
+    episodes_ = spark.createDataFrame(lines, "patient_id string, kind string, line_number int, treatment string, intent string, termination_reason string, start_date string")
+    index = spark.createDataFrame([(p, "2021-01-01", "2019-01-01", "2021-01-01", 3, 4) for p in texts], "patient_id string, tb_date string, start string, end string, event_count int, node_count int")
+    records = cases.records(spark.createDataFrame(rows, cases.SNAPSHOT), episodes_, index)
+    found = cases.candidates(records, spark.createDataFrame([("a",)], "patient_id string"), 3).orderBy("rank").collect()
+    assert [r["candidate"] for r in found] == ["b", "c"] and found[0]["nets"] == "biology,narrative,trajectory" and found[0]["mean_score"] > found[1]["mean_score"]
+    assert cases.posterior_weights('{"posterior_weights": {' + ", ".join(f'"{k}": 1' for k in similarity.PRIOR_WEIGHTS) + "}}") == dict.fromkeys(similarity.PRIOR_WEIGHTS, 1.0)
+    with pytest.raises(ValueError, match="smoking_match"):
+        cases.posterior_weights('{"posterior_weights": {' + ", ".join(f'"{k}": 1' for k in list(similarity.PRIOR_WEIGHTS)[:-1]) + "}}")
+
+
+def test_a_models_episodes_are_checked_and_rules_step_in(spark):
+    import json
+
+    rows = [("p", 1, "a", "2021-01-01", "surgery", None, None, "lobectomy", "MAJOR", None, None), ("q", 1, "b", "2021-02-01", "surgery", None, None, "wedge", "MAJOR", None, None)]
+    events = spark.createDataFrame(rows, TIMELINE)
+
+    def model(system, user):
+        good = {"kind": "surgery_course", "start_date": "2021-01-01", "end_date": "2021-01-01", "anchor_event_id": "a"}
+        return "```json\n" + json.dumps({"episodes": [good if '"a"' in user else good | {"kind": "odd"}]}) + "\n```"
+
+    got = {r["patient_id"]: r for r in episodes.by_model(events, model).collect()}
+    assert got["p"]["kind"] == "surgery_course" and got["p"]["event_ids"] == ["a"] and got["q"]["anchor_event_id"] == "b" and got["q"]["episode_id"]
+    info = episodes.patient_info(spark.createDataFrame([("p", "NSCLC", ["x"])], "patient_id string, diagnosis string, current_treatment array<string>")).first()
+    assert info["TUMOR INFORMATION"]["diagnosis"] == "NSCLC" and info["TREATMENTS"]["current"] == ["x"] and info["PATIENT DEMOGRAPHICS"]["dnr"] == "No"
