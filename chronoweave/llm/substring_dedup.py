@@ -3,7 +3,7 @@
 Each run of `window` consecutive words is an edge of the graph, from the run's first words to its last. An edge that starts in two
 documents is repeated. Repeated edges are found in two steps. First, each run is represented by its least inner `anchor`-word hash, so
 one of about four places is counted; anchors seen in one document only cannot lie in a repeated run. The repeated anchors go
-into a bitmap of fixed size (two bits each), which may let through too much and never too little. Then the runs whose anchor is in the
+into a bitmap (two bits each), which may let through too much and never too little; its size follows their number. Then the runs whose anchor is in the
 bitmap are counted exactly. A join brings each repeated edge back to its places: places next to each other whose edges neither branch
 in nor out (by a 32-bit sketch of their neighbouring words) compact to one path, and the path's source coordinates (the smallest document that has it, against the place's own)
 decide whether its words go. Nothing is gathered by edge: hot edges meet in hash aggregations and a join that can be split; what is
@@ -26,12 +26,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import release, stored, without
+from chronoweave.llm.common import discard, release, stored, without
 from chronoweave.llm.rolling import Powers, runs, slices, sliding_min, word_hashes
 
 WINDOW, ANCHOR = 13, 6
-#: Bits of the bitmap of repeated anchors: its size (8 MiB) does not follow the input.
-BITMAP_BITS = 26
+#: Sizes of the bitmap of repeated anchors as powers of two (8 MiB to 128 MiB), and its places for each of them: one other anchor in 40 passes at most.
+BITMAP_BITS, MOST_BITMAP_BITS, PLACES = 26, 30, 12
+
+
+def bitmap_size(anchors: int) -> int:
+    """The power of two that gives each repeated anchor PLACES bits; 90 million fill the largest, beyond which more pass."""
+    return min(MOST_BITMAP_BITS, max(BITMAP_BITS, (PLACES * anchors - 1).bit_length()))
 
 
 def _valid(owner: np.ndarray, width: int) -> np.ndarray:
@@ -113,13 +118,16 @@ def _edges(window: int, anchor: int, shared, bits: int):
     return run
 
 
-def repeated_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def repeated_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, bitmap_bits: int | None = None) -> DataFrame:
     """doc, start, end (word places, end exclusive) and source: paths of `doc` that a smaller document, `source`, also has."""
     spark = documents.sparkSession
     plain = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     anchors = plain.mapInArrow(_anchors(window, anchor), "h long, doc long")
     twice = anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h")
+    twice = stored(twice, "anchors")
+    bitmap_bits = bitmap_size(twice.count()) if bitmap_bits is None else bitmap_bits
     shared = spark.sparkContext.broadcast(_bitmap(twice, bitmap_bits).tobytes())
+    discard(twice)
     places = plain.mapInArrow(_edges(window, anchor, shared, bitmap_bits), "h long, doc long, pos int, near long")
     release(spark)
     ends = [F.min("doc").alias("source"), F.max("doc").alias("_last"), F.bit_or("near").alias("near")]

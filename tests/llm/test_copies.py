@@ -153,6 +153,21 @@ def test_a_full_bitmap_only_costs_time(documents, rows):
     assert sorted(tuple(r) for r in kept.select("doc_id", "n_words", "n_removed", "kept").collect()) == removed(rows)
 
 
+def test_the_bitmap_grows_with_the_repeated_anchors(documents, rows, monkeypatch):
+    made, filled = substring_dedup._bitmap, []
+
+    def seen(repeated, bits):
+        words = made(repeated, bits)
+        filled.append((bits, sum(int(w).bit_count() for w in words.view("uint64")) / 2**bits))
+        return words
+
+    monkeypatch.setattr(substring_dedup, "BITMAP_BITS", 6)
+    monkeypatch.setattr(substring_dedup, "_bitmap", seen)
+    kept = substring_dedup.dedup(documents)
+    assert sorted(tuple(r) for r in kept.select("doc_id", "n_words", "n_removed", "kept").collect()) == removed(rows)
+    assert 6 < filled[0][0] < 26 and filled[0][1] < 0.2 and substring_dedup.bitmap_size(30_000_000) == 29 and substring_dedup.bitmap_size(0) == 6
+
+
 def test_spans_are_paths_with_their_source(documents, rows):
     spans = substring_dedup.repeated_spans(documents).collect()
     words = {r[0]: WORD.findall(r[1] or "") for r in rows}
