@@ -278,6 +278,18 @@ def test_components_mark_many_links_without_overflow(spark, monkeypatch):
     assert dict(map(tuple, graph.components(links).collect())) == dict.fromkeys(range(10), 0)
 
 
+def test_merged_components_follow_the_sqls_order_above_a_million_parts(spark, tmp_path):
+    import duckdb
+
+    from chronoweave.plans import catalogue
+
+    duckdb.sql("CREATE TABLE lineitem AS SELECT * FROM (VALUES (1, 1, 1150000, 'A', TIMESTAMP '1995-01-01', 5.0), (1, 2, 3, 'R', TIMESTAMP '1995-01-02', 5.0), (2, 1, 7, 'R', TIMESTAMP '1995-01-02', 5.0)) AS t(l_orderkey, l_linenumber, l_partkey, l_returnflag, l_shipdate, l_quantity)")
+    duckdb.sql(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    want = duckdb.sql(catalogue.ORACLE_SQL["merged_components"])
+    got = catalogue.QUERIES["merged_components"](spark, str(tmp_path)).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and want.fetchall()[0][2]
+
+
 def test_candidates_pass_the_gate_and_twins_come_first(spark):
     from chronoweave.operators import cases
 
