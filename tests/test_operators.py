@@ -302,6 +302,29 @@ def test_gate_counts_are_those_of_the_pairs(spark):
     assert {r["i"]: r["n"] for r in similarity.gate_counts(df, "i", "d", "m").collect()} == want and len(want) > 100
 
 
+@pytest.mark.parametrize("seed,step", [(4, 0.5), (5, 0.1), (6, 0.01)])
+def test_best_of_the_gate_are_those_of_all_pairs(spark, seed, step):
+    rows, df = people(spark, seed)
+
+    def level(distance, value, alike):
+        return similarity.half_up(np.maximum(0.0, 1 - distance * step), 1) + 0.2 * alike
+
+    best = similarity.gated_best(df, "i", "d", "m", "v", "s", 3, level)
+    pairs = similarity.gate(df, "i", "d", "m")
+    near = F.round(F.greatest(F.lit(0.0), 1 - F.abs(F.col("a_v") - F.col("b_v")) * step), 1) + 0.2 * (F.col("a_s") == F.col("b_s")).cast("int")
+    top = lambda p: sorted(map(tuple, temporal.top_per_group(p.select("a_i", "b_i", near.alias("n")), ["a_i"], [F.col("n").desc(), "b_i"], 3).select("a_i", "b_i").collect()))
+    assert top(best) == top(pairs) and best.count() < pairs.count() / 4
+
+
+def test_least_numbers_of_runs():
+    rng = np.random.default_rng(2)
+    values = rng.permutation(500)
+    low = rng.integers(0, 500, 300)
+    high = np.minimum(500, low + rng.integers(0, 500, 300) // rng.choice([1, 30], 300))
+    got = similarity._Least(values, 6, 500).of(low, high)
+    assert all([x for x in g if x < 500] == sorted(values[a:b])[:6] for g, a, b in zip(got.tolist(), low, high, strict=True))
+
+
 def test_candidates_pass_the_gate_and_twins_come_first(spark):
     from chronoweave.operators import cases
 
