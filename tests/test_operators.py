@@ -355,3 +355,36 @@ def test_a_models_episodes_are_checked_and_rules_step_in(spark):
     assert got["p"]["kind"] == "surgery_course" and got["p"]["event_ids"] == ["a"] and got["q"]["anchor_event_id"] == "b" and got["q"]["episode_id"]
     info = episodes.patient_info(spark.createDataFrame([("p", "NSCLC", ["x"])], "patient_id string, diagnosis string, current_treatment array<string>")).first()
     assert info["TUMOR INFORMATION"]["diagnosis"] == "NSCLC" and info["TREATMENTS"]["current"] == ["x"] and info["PATIENT DEMOGRAPHICS"]["dnr"] == "No"
+
+
+def test_pairs_of_cases_are_dealt_out_and_read_codes(spark):
+    """Diagnoses do not gather in a few tasks; a pair costs no maps and no decimals."""
+    from chronoweave.plans import catalogue
+
+    for name in ("case_features", "calibration_vector", "case_scores"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "map_entries" not in plan and "array_intersect" not in plan and "Repartition" in plan and "broadcast" in plan, name
+
+
+def test_fast_rounding_is_sparks(spark):
+    rng = random.Random(7)
+    values = [0.5e-6, 1.5e-6, 2.5e-6, 0.1234565, 0.1234575, 0.0, 1.0, None, *[rng.randrange(10**7) / 1e7 for _ in range(300)], *[rng.random() for _ in range(300)]]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(similarity.rounded("x", 6).alias("a"), F.round("x", 6).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+    assert similarity.half_up(np.array(values[:7]), 6).tolist() == [r["b"] for r in rows[:7]]
+
+
+def test_candidates_are_those_of_all_pairs(spark):
+    from chronoweave.operators import cases
+    from chronoweave.plans import clinical_queries as q
+
+    r = q._cases(lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")).cache()
+    wanted = r.where("cast(patient_id as int) % 10 = 0").select("patient_id")
+    coded = cases.coded(r)
+    pairs = cases.scored(cases.gated(coded.join(wanted, "patient_id", "left_semi"), coded, F.col("a_patient_id") != F.col("b_patient_id"))).cache()
+    notes = similarity.bm25(r, r.join(wanted, "patient_id", "left_semi").withColumnRenamed("patient_id", "asked"), doc="patient_id", query="asked", tokens="tb_note_tokens")
+    told = pairs.join(notes, [F.col("a_patient_id") == F.col("asked"), F.col("b_patient_id") == F.col("patient_id")])
+    plain = lambda p, score: p.select(F.col("a_patient_id").alias("patient_id"), F.col("b_patient_id").alias("candidate"), F.col(score).alias("score"))
+    want = similarity.merge_nets({"biology": plain(pairs, "biology"), "trajectory": plain(pairs, "trajectory"), "narrative": plain(told, "score")}, "patient_id", "candidate", "score", 4)
+    shown = lambda d: sorted(map(tuple, d.select("patient_id", "candidate", "nets", F.round("mean_score", 6), "rank").collect()))
+    assert shown(cases.candidates(r, wanted, 4)) == shown(want)
